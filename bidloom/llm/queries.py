@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import repeated_lines
+from bidloom.llm import repeated_lines, shared_spans
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,13 @@ t AS (SELECT DISTINCT para_id, doc_id, text FROM paragraphs)
 SELECT para_id, doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda l, i : NOT list_contains(gone, i - 1)), chr(10)) END AS text,
 CAST(coalesce(len(gone), 0) AS INTEGER) AS lines_removed FROM t LEFT JOIN g USING (para_id)"""
 )
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.found(table(spark, d, "paragraphs"))
+
+
+@query
+def p3_shared_parts(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_parts(table(spark, d, "paragraphs"), table(spark, d, "documents"))
