@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import repeated_lines, shared_spans
+from bidloom.llm import repeated_lines, repetition, shared_spans
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_shared_parts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_parts(table(spark, d, "paragraphs"), table(spark, d, "documents"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.found(table(spark, d, "documents"))
+
+
+@query
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.shares(table(spark, d, "documents"))
