@@ -68,14 +68,17 @@ def sliding(x: np.ndarray, size: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(behind[: n - size + 1], ahead[size - 1 : n])
 
 
-def anchors(flat: np.ndarray, lengths: np.ndarray, sums: np.ndarray, size: int, span: int, powers: Powers) -> np.ndarray:
-    """Starts of chosen windows of ``size``: of any ``span`` characters of one text at least one is chosen, and by these characters alone."""
+def anchors(flat: np.ndarray, lengths: np.ndarray, sums: np.ndarray, size: int, span: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of chosen windows of ``size``: of any ``span`` characters of one text at least one is chosen, and by these characters alone.
+
+    Also the hash of every window, and for every start of ``span`` characters
+    the least hash in them, which is that of the chosen one; 0 if they don't fit.
+    """
     if len(flat) < span:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = window(sums, size, powers)
-    h[h == _NONE] = _NONE - np.uint64(1)
-    ends = np.cumsum(lengths)
-    left = np.repeat(ends, lengths) - np.arange(len(flat))
+    h = np.clip(h, np.uint64(1), _NONE - np.uint64(1))
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
     h[left[: len(h)] < size] = _NONE
     width = span - size + 1
     least = sliding(h, width, np.minimum, int(_NONE))
@@ -83,4 +86,4 @@ def anchors(flat: np.ndarray, lengths: np.ndarray, sums: np.ndarray, size: int,
     # least[i] belongs to the window of starts i..i+width-1; a start is chosen if it is the least of any of them
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(max(0, len(h) - len(least)), np.uint64)])
     most = sliding(around, width, np.maximum, 0)[: len(h)]
-    return np.flatnonzero((h == most) & (h != _NONE))
+    return np.flatnonzero((h == most) & (h != _NONE)), h, least
