@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import repeated_lines, repetition, shared_spans
+from bidloom.llm import repeated_lines, repetition, shared_spans, term_weights
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,29 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(table(spark, d, "documents"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return term_weights.found(table(spark, d, "image_matches"), table(spark, d, "paragraphs"))
+
+
+@query
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return term_weights.term_scores(table(spark, d, "image_matches"), table(spark, d, "paragraphs"))
+
+
+_P2 = r"""
+WITH w AS (SELECT doc_id, regexp_replace(regexp_replace(lower(w), '^[^\p{L}]+', ''), '[^\p{L}]+$', '') AS term FROM (SELECT doc_id, unnest(tokens) AS w FROM (SELECT para_id, any_value(doc_id) AS doc_id, any_value(tokens) AS tokens FROM paragraphs GROUP BY para_id))),
+c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS docs FROM c GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM c),
+g AS (SELECT doc_id, sum(tf) AS length FROM c GROUP BY doc_id),
+m AS (SELECT DISTINCT match_id, doc_a, doc_b, regexp_replace(regexp_replace(lower(w), '^[^\p{L}]+', ''), '[^\p{L}]+$', '') AS term
+  FROM (SELECT match_id, doc_a, doc_b, unnest(shared_rare_words) AS w FROM image_matches)),
+s AS (SELECT m.match_id, m.term, coalesce(a.tf, 0) AS tf_a, coalesce(b.tf, 0) AS tf_b, coalesce(f.docs, 0) AS docs,
+  round((coalesce(a.tf / ga.length, 0) + coalesce(b.tf / gb.length, 0)) / 2 * (ln((n.n + 1) / (coalesce(f.docs, 0) + 1)) + 1), 9) AS score
+  FROM m LEFT JOIN c a ON a.doc_id = m.doc_a AND a.term = m.term LEFT JOIN c b ON b.doc_id = m.doc_b AND b.term = m.term
+  LEFT JOIN g ga ON ga.doc_id = m.doc_a LEFT JOIN g gb ON gb.doc_id = m.doc_b LEFT JOIN f ON f.term = m.term, n WHERE m.term <> '')
+"""
+ORACLE["p2_found"] = _P2 + "SELECT match_id, term FROM s WHERE tf_a > 0 AND tf_b > 0 AND docs <= 5"
+ORACLE["p2_scores"] = _P2 + "SELECT * FROM s"
