@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidloom.llm import repeated_lines, repetition, shared_spans, term_weights
+from bidloom.llm import packing, repeated_lines, repetition, shared_spans, term_weights, tokenize
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,28 @@ s AS (SELECT m.match_id, m.term, coalesce(a.tf, 0) AS tf_a, coalesce(b.tf, 0) AS
 """
 ORACLE["p2_found"] = _P2 + "SELECT match_id, term FROM s WHERE tf_a > 0 AND tf_b > 0 AND docs <= 5"
 ORACLE["p2_scores"] = _P2 + "SELECT * FROM s"
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode(table(spark, d, "documents"))
+
+
+@query
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's size in tokens, and whether decoding them gives the text again."""
+    texts = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
+    tokens = tokenize.encode(texts)
+    sizes = tokens.select("doc_id", F.size("ids").alias("n_tokens"))
+    again = tokenize.decode(tokens).select("doc_id", F.xxhash64("text").alias("again"))
+    return texts.select("doc_id", F.xxhash64("text").alias("is")).join(again, "doc_id").join(sizes, "doc_id").select("doc_id", "n_tokens", (F.col("is") == F.col("again")).alias("same"))
+
+
+@query
+def p9_filled(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(tokenize.token_counts(table(spark, d, "documents")), table(spark, d, "container_specs"))
+
+
+@query
+def p9_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p9_filled(spark, d), table(spark, d, "container_specs"))
