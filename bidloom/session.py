@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +25,20 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a session that has none (tests, one machine) gets a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        named = spark.conf.get("bidloom.own.folder", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="bidloom-")
+        atexit.register(shutil.rmtree, named, True)
+        spark.conf.set("bidloom.own.folder", named)
+    return named
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, which cuts its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that has none (tests, single machine) gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="bidloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """``df`` written as a table into the shared folder and read back, which cuts its lineage and survives the loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/bidloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
