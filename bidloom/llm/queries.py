@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import packing, repeated_lines, repetition, shared_spans, term_weights, tokenize
+from bidloom.llm import packing, repeated_lines, repetition, shared_spans, term_weights, tokenize, vectors
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,14 @@ def p9_filled(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p9_filled(spark, d), table(spark, d, "container_specs"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.found(table(spark, d, "text_embedding_cache"))
+
+
+@query
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest of all vectors, for the vectors whose id is divisible by 100."""
+    return vectors.neighbours(table(spark, d, "text_embedding_cache"), F.col("vec_id") % 100 == 0)
