@@ -1,8 +1,8 @@
 """Problem 2: how distinctive a listed term is of a pair of records.
 
 Term frequency times smoothed logarithmic inverse document frequency. The
-distinct (document, term) counts of the whole corpus are made once, in one
-shuffle on 64-bit ids of the terms; document frequencies and document lengths
+distinct (document, term) counts of the whole corpus are made once, by 64-bit ids
+of the terms, and kept as a table; document frequencies and document lengths
 are aggregated from them with partial aggregation, and the listed terms are
 joined back to both.
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.session import materialise
+
 MAX_DOCS = 5
 
 
@@ -49,16 +51,15 @@ def term_scores(matches: DataFrame, paragraphs: DataFrame) -> DataFrame:
     tf 0 there; one that no document has gets docs 0. Repeated matches and
     repeated entries count once, null and empty lists give no rows.
     """
-    counts = corpus_counts(paragraphs)
-    # counting with tf keeps the column, so that both branches share one shuffle
-    docs = counts.groupBy("id").agg(F.count_if(F.col("tf") > 0).alias("docs"))
-    length = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count_if(F.col("id").isNotNull()).alias("terms"))
+    counts = materialise(corpus_counts(paragraphs))
+    docs = counts.groupBy("id").agg(F.count("*").alias("docs"))
+    length = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     listed = listed_terms(matches)
     sides = listed.select("match_id", "term", F.inline(F.array(*[F.struct(F.col(f"doc_{x}").alias("doc_id"), F.lit(x).alias("side")) for x in "ab"])))
     sides = sides.select("*", F.xxhash64("term").alias("id"))
     tf = counts.join(sides.hint("shuffle_hash"), ["doc_id", "id"]).select("match_id", "term", "side", "doc_id", "tf")
     tf = tf.join(length, "doc_id").groupBy("match_id", "term").pivot("side", ["a", "b"]).agg(F.first("tf").alias("tf"), F.first("length").alias("length"))
-    total = length.agg(F.count_if(F.col("length") > 0).alias("n"))
+    total = length.agg(F.count("*").alias("n"))
     share = lambda x: F.coalesce(F.col(f"{x}_tf") / F.col(f"{x}_length"), F.lit(0.0))
     rows = listed.select("match_id", "term", F.xxhash64("term").alias("id")).join(docs, "id", "left").join(tf, ["match_id", "term"], "left").join(F.broadcast(total))
     docs_of = F.coalesce("docs", F.lit(0))
