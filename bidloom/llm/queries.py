@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import packing, repeated_lines, repetition, shared_spans, term_weights, tokenize, vectors
+from bidloom.llm import names, packing, repeated_lines, repetition, shared_spans, term_weights, tokenize, vectors
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of all vectors, for the vectors whose id is divisible by 100."""
     return vectors.neighbours(table(spark, d, "text_embedding_cache"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "companies"), table(spark, d, "contact_fingerprints"), table(spark, d, "name_aliases"))
+
+
+@query
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, "companies"), table(spark, d, "contact_fingerprints"), table(spark, d, "name_aliases"))
