@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import names, packing, repeated_lines, repetition, shared_spans, term_weights, tokenize, vectors
+from bidloom.llm import names, packing, repeated_lines, repetition, scans, shared_spans, term_weights, tokenize, vectors
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.entities(table(spark, d, "companies"), table(spark, d, "contact_fingerprints"), table(spark, d, "name_aliases"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "ocr_results"), table(spark, d, "documents"), table(spark, d, "paragraphs"))
+
+
+@query
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "ocr_results"), table(spark, d, "documents"), table(spark, d, "paragraphs"))
