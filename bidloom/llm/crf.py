@@ -54,43 +54,50 @@ def train(
     features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_features: int, n_states: int, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-4
 ) -> Crf:
     """Fits on padded sequences; labels beyond a row's length are ignored. Deterministic."""
-    rows, steps, slots = features.shape
+    slots = features.shape[2]
     crf = Crf(np.zeros((n_features, n_states)), np.zeros((n_states, n_states)), np.zeros(n_states))
-    live = np.arange(steps)[None] < lengths[:, None]
-    gold = np.where(live, labels, 0)
-    r = np.arange(rows)
     first, second = [[np.zeros_like(p) for p in (crf.emit, crf.move, crf.start)] for _ in range(2)]
-    seen_move = np.zeros((n_states, n_states))
-    pairs = live[:, 1:]
-    np.add.at(seen_move, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
-    seen_start = np.bincount(gold[:, 0], minlength=n_states).astype(float)
-    one_hot = np.eye(n_states)[gold] * live[..., None]
-    total = float(live.sum())
+    # sequences of like length are worked on together
+    parts = []
+    for own in np.array_split(np.argsort(lengths, kind="stable"), min(10, len(lengths))):
+        size = lengths[own]
+        steps = int(size.max())
+        live = np.arange(steps)[None] < size[:, None]
+        parts.append((size, live, features[own, :steps][live], np.where(live, labels[own, :steps], 0)))
+    total = float(lengths.sum())
+    flat = np.concatenate([p[2] for p in parts])
+    seen_move, seen_start = np.zeros((n_states, n_states)), np.zeros(n_states)
+    for _, live, _, gold in parts:
+        pairs = live[:, 1:]
+        np.add.at(seen_move, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
+        seen_start += np.bincount(gold[:, 0], minlength=n_states)
     for k in range(1, rounds + 1):
-        s = crf.scores(features)
-        fwd = np.empty_like(s)
-        bwd = np.zeros_like(s)
-        fwd[:, 0] = s[:, 0] + crf.start
-        for t in range(1, steps):
-            fwd[:, t] = np.where(live[:, t, None], _lse(fwd[:, t - 1][:, :, None] + crf.move[None], 1) + s[:, t], fwd[:, t - 1])
-        for t in range(steps - 2, -1, -1):
-            nxt = _lse(crf.move[None] + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-            bwd[:, t] = np.where(live[:, t + 1, None], nxt, 0)
-        z = _lse(fwd[r, lengths - 1], 1)
-        prob = np.exp(fwd + bwd - z[:, None, None]) * live[..., None]
-        move = np.zeros_like(seen_move)
-        for t in range(steps - 1):
-            on = live[:, t + 1]
-            if on.any():
+        move, start, deltas = np.zeros_like(seen_move), np.zeros(n_states), []
+        for size, live, own, gold in parts:
+            rows, steps = live.shape
+            s = np.zeros((rows, steps, n_states))
+            s[live] = crf.scores(own)
+            fwd, bwd = np.empty_like(s), np.zeros_like(s)
+            fwd[:, 0] = s[:, 0] + crf.start
+            for t in range(1, steps):
+                fwd[:, t] = np.where(live[:, t, None], _lse(fwd[:, t - 1][:, :, None] + crf.move[None], 1) + s[:, t], fwd[:, t - 1])
+            for t in range(steps - 2, -1, -1):
+                bwd[:, t] = np.where(live[:, t + 1, None], _lse(crf.move[None] + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
+            z = _lse(fwd[np.arange(rows), size - 1], 1)
+            prob = np.exp(fwd + bwd - z[:, None, None]) * live[..., None]
+            for t in range(steps - 1):
+                on = live[:, t + 1]
                 move += np.exp(fwd[on, t][:, :, None] + crf.move[None] + (s[on, t + 1] + bwd[on, t + 1])[:, None, :] - z[on, None, None]).sum(0)
-        delta = (one_hot - prob).reshape(-1, n_states)
+            start += prob[:, 0].sum(0)
+            deltas.append((np.eye(n_states)[gold] - prob)[live])
+        delta = np.concatenate(deltas)
         emit = np.zeros_like(crf.emit)
-        for j in range(slots):
-            flat = features[..., j].ravel()
-            for c in range(n_states):
-                emit[:, c] += np.bincount(flat, delta[:, c], n_features)
+        for c in range(n_states):
+            weight = np.ascontiguousarray(delta[:, c])
+            for j in range(slots):
+                emit[:, c] += np.bincount(flat[:, j], weight, n_features)
         emit[0] = 0
-        grads = (emit / total - ridge * crf.emit, (seen_move - move) / total - ridge * crf.move, (seen_start - prob[:, 0].sum(0)) / total)
+        grads = (emit / total - ridge * crf.emit, (seen_move - move) / total - ridge * crf.move, (seen_start - start) / total)
         for p, g, m, v in zip((crf.emit, crf.move, crf.start), grads, first, second, strict=True):
             m *= 0.9
             m += 0.1 * g

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import names, packing, repeated_lines, repetition, scans, shared_spans, term_weights, tokenize, vectors
+from bidloom.llm import names, packing, personal, repeated_lines, repetition, scans, shared_spans, term_weights, tokenize, vectors
 from bidloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(table(spark, d, "ocr_results"), table(spark, d, "documents"), table(spark, d, "paragraphs"))
+
+
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "paragraphs"), table(spark, d, "contact_fingerprints"), table(spark, d, "name_aliases")
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(*_personal(spark, d))
+
+
+@query
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(*_personal(spark, d))
