@@ -1,6 +1,686 @@
-"""All queries by name, with their SQL."""
+"""All queries of the engine's own operators by name, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bidloom.functions import contacts, fixed, text
+from bidloom.operators import graph, images, matching, sections, setjoin, sketch
+from bidloom.plans import items
+from bidloom.session import materialise
+from bidloom.sources import store
+from bidloom.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, repeated rows once."""
+    return table(spark, d, "paragraphs").dropDuplicates(["para_id"])
+
+
+_P = "WITH p AS (SELECT para_id, any_value(doc_id) AS doc_id, any_value(para_index) AS para_index, any_value(page_num) AS page_num, any_value(text) AS text, any_value(tokens) AS tokens, coalesce(max(source), 'text') AS source FROM paragraphs GROUP BY para_id)"
+
+
+def _para_tokens(spark: SparkSession, d: str, key: str = "para_id") -> DataFrame:
+    return _once(spark, d).select(key, F.explode("tokens").alias("t")).select(key, F.lower("t").alias("token")).filter(F.length("token") > 1)
+
+
+_T = _P + ", t AS (SELECT para_id, doc_id, lower(w) AS token FROM (SELECT para_id, doc_id, unnest(tokens) AS w FROM p) WHERE length(w) > 1)"
+_SIG = _T + ", v AS (SELECT token, s, ('0x' || right(md5(token || ':' || s), 8))::BIGINT AS h FROM (SELECT DISTINCT token FROM t), range(32) r(s)), m AS (SELECT para_id, s, min(h) AS h FROM (SELECT DISTINCT para_id, token FROM t) JOIN v USING (token) GROUP BY para_id, s), k AS (SELECT para_id, list(h ORDER BY s) AS sig FROM m GROUP BY para_id)"
+
+
+# text and sketches
+
+
+@query(
+    r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS para_index, x AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE length(trim(x)) >= 15"
+)
+def paragraphs_split(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_index", "line"))
+    return lines.filter(F.length(F.trim("line")) >= 15)
+
+
+@query()
+def paragraphs_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The whole splitter: line repair, then lines, sentences and merged short pieces."""
+    from bidloom.functions import fuzzy
+
+    repaired = table(spark, d, "documents").filter("text is not null").select("doc_id", fuzzy.repaired_lines("text").alias("text"))
+    return repaired.select("doc_id", F.posexplode(fuzzy.paragraphs_of("text")).alias("para_index", "text"))
+
+
+@query(
+    r"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x : length(x) > 1) AS w FROM documents WHERE text IS NOT NULL)"
+)
+def token_stats(spark: SparkSession, d: str) -> DataFrame:
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", words.alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(text.tokens(F.array_join("w", " "))).cast("long").alias("n_distinct"))
+
+
+@query(_SIG + " SELECT para_id, sig FROM k")
+def minhash_sketch(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.minhash(_para_tokens(spark, d), "para_id")
+
+
+@query(_SIG + ", dm AS (SELECT p.doc_id, m.s, min(m.h) AS h FROM m JOIN p USING (para_id) GROUP BY p.doc_id, m.s) SELECT doc_id, list(h ORDER BY s) AS sig FROM dm GROUP BY doc_id")
+def doc_sketch(spark: SparkSession, d: str) -> DataFrame:
+    sigs = minhash_sketch(spark, d).join(_once(spark, d).select("para_id", "doc_id"), "para_id")
+    return sketch.merged(sigs, "doc_id")
+
+
+_SIM = (
+    _T
+    + ", f AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY doc_id, token), b AS (SELECT doc_id, part, bit, sum(CASE WHEN (('0x' || substr(md5(token), 17 + 8 * part, 8))::BIGINT >> bit) & 1 = 1 THEN tf ELSE -tf END) AS s FROM f, range(2) x(part), range(32) y(bit) GROUP BY doc_id, part, bit),"
+    " h AS (SELECT doc_id, CAST(sum(CASE WHEN part = 0 AND s > 0 THEN 1::BIGINT << bit ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN part = 1 AND s > 0 THEN 1::BIGINT << bit ELSE 0 END) AS BIGINT) AS low FROM b GROUP BY doc_id)"
+)
+
+
+def _simhashes(spark: SparkSession, d: str) -> DataFrame:
+    tf = _para_tokens(spark, d, "doc_id").groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    return sketch.simhash(tf, "doc_id")
+
+
+@query(_SIM + " SELECT doc_id, high, low FROM h")
+def simhash64(spark: SparkSession, d: str) -> DataFrame:
+    return _simhashes(spark, d)
+
+
+@query(
+    _SIM + ", q AS (SELECT * FROM h WHERE doc_id % 100 = 0) SELECT q.doc_id AS query_id, h.doc_id, bit_count(xor(q.high, h.high)) + bit_count(xor(q.low, h.low)) AS d FROM q JOIN h ON q.doc_id <> h.doc_id WHERE bit_count(xor(q.high, h.high)) + bit_count(xor(q.low, h.low)) <= 12"
+)
+def simhash_search(spark: SparkSession, d: str) -> DataFrame:
+    """For documents whose id is divisible by 100, all documents at most 12 bits away: of 13 blocks of bits, one is equal."""
+    h = _simhashes(spark, d)
+    cuts = [round(i * 64 / 13) for i in range(14)]
+    whole = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
+    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(whole, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(13)])
+    rows = h.select("doc_id", "high", "low", F.inline(blocks))
+    asks = rows.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("high").alias("qh"), F.col("low").alias("ql"), "block", "bits")
+    dist = sketch.hamming(F.col("qh"), F.col("ql"), F.col("high"), F.col("low"))
+    return asks.join(rows, ["block", "bits"]).filter("query_id <> doc_id").select("query_id", "doc_id", dist.alias("d")).filter("d <= 12").distinct()
+
+
+_SH = r"""
+WITH c AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE trim(text) <> '' GROUP BY text), w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), u AS (SELECT x FROM s GROUP BY x HAVING count(*) > 1), r AS (SELECT s.* FROM s JOIN u USING (x)),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM r a JOIN r b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+j AS (SELECT a AS doc_a, b AS doc_b, o / (na.n + nb.n - o) AS jaccard FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE o / (na.n + nb.n - o) >= 0.8)
+"""
+
+
+@query(_SH + "SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM j")
+def doc_near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Links of near-duplicate texts (five-word shingles, Jaccard of at least 0.8), between representatives of equal texts."""
+    return setjoin.near_duplicates(table(spark, d, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(
+    _SH.replace("SELECT min(doc_id) AS doc_id, text FROM", "SELECT min(doc_id) AS doc_id, text FROM")
+    + ", l AS (SELECT doc, count(*) AS n FROM (SELECT doc_a AS doc FROM j UNION ALL SELECT doc_b FROM j) GROUP BY doc) SELECT d.doc_id, c.doc_id AS class_id, coalesce(l.n, 0) AS links FROM (SELECT DISTINCT doc_id, text FROM documents) d JOIN c USING (text) LEFT JOIN l ON l.doc = c.doc_id"
+)
+def doc_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its class of equal texts and the class's number of near-duplicate links."""
+    docs = table(spark, d, "documents")
+    ends = setjoin.near_duplicates(docs).select(F.explode(F.array("doc_a", "doc_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return setjoin.text_classes(docs).join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query("SELECT md5(text) AS text_hash, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS docs FROM documents WHERE trim(text) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").filter(F.trim("text") != "").select("doc_id", F.md5("text").alias("text_hash")).distinct()
+    return rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs")).filter("docs > 1")
+
+
+# metadata
+
+
+_META = r"""
+WITH s AS (SELECT DISTINCT doc_id, author, creator, producer, trim(regexp_replace(coalesce(creator, ''), '\d+\.\d+[\d.]*', '', 'g')) AS c, trim(regexp_replace(coalesce(producer, ''), '\d+\.\d+[\d.]*', '', 'g')) AS p FROM documents),
+f AS (SELECT doc_id, author, creator, producer, CASE WHEN c <> '' OR p <> '' THEN lower(c || ' + ' || p) END AS software FROM s),
+v AS (SELECT doc_id, 'author' AS kind, lower(trim(author)) AS value FROM f UNION ALL SELECT doc_id, 'creator', lower(trim(creator)) FROM f UNION ALL SELECT doc_id, 'producer', lower(trim(producer)) FROM f UNION ALL SELECT doc_id, 'software', software FROM f),
+g AS (SELECT kind, value, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM v WHERE value <> '' GROUP BY kind, value HAVING count(DISTINCT doc_id) > 1)
+"""
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "author", "creator", "producer", text.software_fingerprint(F.col("creator"), F.col("producer")).alias("software")).distinct()
+    low = lambda c: F.lower(F.trim(c))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("author", low("author")), ("creator", low("creator")), ("producer", low("producer")), ("software", F.col("software")))])
+    return docs.select("doc_id", F.inline(kinds)).filter("value <> ''")
+
+
+@query(_META + "SELECT doc_id, software FROM f")
+def software_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.software_fingerprint(F.col("creator"), F.col("producer")).alias("software")).distinct()
+
+
+@query(_META + "SELECT kind, value, docs, first_doc FROM g")
+def value_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata values that two documents or more share."""
+    return _metadata(spark, d).groupBy("kind", "value").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).filter("docs > 1")
+
+
+@query(_META + "SELECT v.doc_id, v.kind, g.first_doc, g.docs - 1 AS mates FROM v JOIN g USING (kind, value)")
+def metadata_self_join(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the group of documents that share a metadata value: the group's first document, and how many others are in it."""
+    groups = value_groups(spark, d)
+    return _metadata(spark, d).join(groups, ["kind", "value"]).select("doc_id", "kind", "first_doc", (F.col("docs") - 1).alias("mates"))
+
+
+@query("SELECT strftime(extracted_at, '%Y-%m-%dT%H') AS bucket, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM documents WHERE extracted_at IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def time_buckets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").filter("extracted_at is not null").select("doc_id", F.date_format("extracted_at", "yyyy-MM-dd'T'HH").alias("bucket")).distinct()
+    return rows.groupBy("bucket").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).filter("docs > 1")
+
+
+# contacts
+
+
+_C = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC NULLS LAST) AS n FROM contact_fingerprints), l AS (SELECT * FROM r WHERE n = 1),
+e AS (SELECT DISTINCT doc_id, kind, value FROM (SELECT doc_id, kind, CASE WHEN kind = 'email' THEN lower(trim(x)) ELSE trim(x) END AS value FROM (
+  SELECT doc_id, 'company' AS kind, unnest(company_names) AS x FROM l UNION ALL SELECT doc_id, 'contact', unnest(contact_names) FROM l UNION ALL SELECT doc_id, 'mobile', unnest(mobile_phones) FROM l
+  UNION ALL SELECT doc_id, 'landline', unnest(landline_phones) FROM l UNION ALL SELECT doc_id, 'email', unnest(emails) FROM l UNION ALL SELECT doc_id, 'credit_code', unnest(credit_codes) FROM l)) WHERE value <> ''),
+g AS (SELECT kind, value, count(*) AS docs, min(doc_id) AS first_doc FROM e GROUP BY kind, value)
+"""
+
+
+@query(_C + "SELECT doc_id, kind, value FROM e")
+def contact_entities(spark: SparkSession, d: str) -> DataFrame:
+    return contacts.entities(table(spark, d, "contact_fingerprints"))
+
+
+@query(_C + "SELECT kind, value, docs, first_doc FROM g WHERE docs > 1")
+def contact_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Contact values that two documents or more share."""
+    return contact_entities(spark, d).groupBy("kind", "value").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).filter("docs > 1")
+
+
+@query(
+    r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '1[3-9]\d{9}'))) AS mobiles, list_sort(list_distinct(regexp_extract_all(text, '0\d{2,3}[)-]\d{7,8}|\d{3,4}-\d{7,8}'))) AS landlines, list_sort(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_.\-+]+@[\p{L}\p{N}_.\-]+\.[a-zA-Z]{2,}'))) AS emails, list_sort(list_distinct(regexp_extract_all(text, '[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}'))) AS codes FROM documents WHERE text IS NOT NULL"
+)
+def contact_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Contact values found in the texts themselves."""
+    x = contacts.extracted(F.col("text"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", x["mobile"].alias("mobiles"), x["landline"].alias("landlines"), x["email"].alias("emails"), x["credit_code"].alias("codes"))
+
+
+@query()
+def company_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(contacts.companies_in("text")).alias("company"))
+
+
+@query(
+    _C
+    + ", m AS (SELECT DISTINCT doc_a, doc_b FROM image_matches), c AS (SELECT m.doc_a, m.doc_b, a.kind, count(*) AS n FROM m JOIN e a ON a.doc_id = m.doc_a JOIN e b ON b.doc_id = m.doc_b AND a.kind = b.kind AND a.value = b.value GROUP BY 1, 2, 3)"
+    " SELECT m.doc_a, m.doc_b, coalesce(sum(CASE WHEN kind = 'company' THEN n END), 0)::BIGINT AS companies, coalesce(sum(CASE WHEN kind = 'contact' THEN n END), 0)::BIGINT AS names, coalesce(sum(CASE WHEN kind IN ('mobile', 'landline') THEN n END), 0)::BIGINT AS phones, coalesce(sum(CASE WHEN kind = 'email' THEN n END), 0)::BIGINT AS emails, coalesce(sum(CASE WHEN kind = 'credit_code' THEN n END), 0)::BIGINT AS codes FROM m LEFT JOIN c USING (doc_a, doc_b) GROUP BY 1, 2"
+)
+def contact_intersection(spark: SparkSession, d: str) -> DataFrame:
+    """For candidate pairs, how many contact values of each kind both documents have."""
+    pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").distinct()
+    e = contact_entities(spark, d)
+    a, b = e.withColumnRenamed("doc_id", "doc_a"), e.withColumnRenamed("doc_id", "doc_b")
+    common = pairs.join(a, "doc_a").join(b, ["doc_b", "kind", "value"])
+    n = lambda *kinds: F.count_if(F.coalesce(F.col("kind").isin(*kinds), F.lit(False)))
+    return pairs.join(common, ["doc_a", "doc_b"], "left").groupBy("doc_a", "doc_b").agg(
+        n("company").alias("companies"), n("contact").alias("names"), n("mobile", "landline").alias("phones"), n("email").alias("emails"), n("credit_code").alias("codes")
+    )
+
+
+@query(
+    _C
+    + ", b AS (SELECT DISTINCT trim(bidder_name) AS name, doc_id FROM companies WHERE trim(bidder_name) <> ''), n AS (SELECT name, count(DISTINCT doc_id) AS bids FROM b GROUP BY name)"
+    " SELECT e.doc_id, count(*) AS named FROM e JOIN n ON e.value = n.name LEFT JOIN b own ON own.name = e.value AND own.doc_id = e.doc_id WHERE e.kind = 'company' AND n.bids - (CASE WHEN own.doc_id IS NULL THEN 0 ELSE 1 END) > 0 GROUP BY e.doc_id"
+)
+def bidder_cross_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that name another bidder exactly: how many names of theirs another document bids under."""
+    bids = table(spark, d, "companies").select(F.trim("bidder_name").alias("value"), "doc_id").filter("value <> ''").distinct()
+    total = bids.groupBy("value").agg(F.count("*").alias("bids"))
+    own = bids.withColumn("own", F.lit(1))
+    rows = contact_entities(spark, d).filter("kind = 'company'").join(total, "value").join(own, ["value", "doc_id"], "left")
+    return rows.filter(F.col("bids") - F.coalesce("own", F.lit(0)) > 0).groupBy("doc_id").agg(F.count("*").alias("named"))
+
+
+# vectors
+
+
+@query(
+    "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM u WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, u.vec_id, list_cosine_similarity(q.v, u.v) AS c FROM q JOIN u ON q.vec_id <> u.vec_id) SELECT query_id, vec_id, round(c, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) <= 10"
+)
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest of all vectors, for the vectors whose id is divisible by 100; the queries go out in blocks."""
+    from bidloom.operators import vectors
+
+    return vectors.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+_V = _P + ", d AS (SELECT p.doc_id, c.embedding FROM p JOIN (SELECT text_hash, any_value(embedding) AS embedding FROM text_embedding_cache WHERE len(embedding) = 384 AND NOT list_contains(list_transform(embedding, lambda x : isnan(x)), true) GROUP BY text_hash) c ON md5(p.text) = c.text_hash)"
+
+
+@query(
+    _V + ", x AS (SELECT doc_id, i, avg(v) AS m FROM (SELECT doc_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM d) GROUP BY doc_id, i), n AS (SELECT doc_id, count(*) AS vectors FROM d GROUP BY doc_id)"
+    " SELECT doc_id, any_value(vectors) AS vectors, round(sqrt(sum(m * m)), 5) AS norm, round(max(CASE WHEN i = 1 THEN m END), 5) AS first FROM x JOIN n USING (doc_id) GROUP BY doc_id"
+)
+def doc_vector_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' mean vectors: how many vectors, the mean's length and first component."""
+    from bidloom.operators import vectors
+
+    cache = table(spark, d, "text_embedding_cache").select("text_hash", "embedding").filter(vectors.usable(F.col("embedding"), 384)).dropDuplicates(["text_hash"])
+    rows = _once(spark, d).select("doc_id", F.md5("text").alias("text_hash")).join(cache, "text_hash")
+    means = vectors.mean(rows, "doc_id", "embedding")
+    norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
+    return means.select("doc_id", "vectors", F.round(norm, 5).alias("norm"), F.round(F.col("mean")[0], 5).alias("first"))
+
+
+# candidates
+
+
+_CAND = _SH + ", k AS (SELECT doc_a, doc_b, 1 AS rank, 'text' AS method FROM j UNION ALL SELECT doc_a, doc_b, 2, 'image' FROM image_matches WHERE similarity >= 0.9), c2 AS (SELECT doc_a, doc_b, method FROM k QUALIFY row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY rank) = 1)"
+
+
+@query(_CAND + " SELECT doc_a, doc_b, method FROM c2")
+def candidate_union_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of all generators; a pair found by several keeps the first method."""
+    near = setjoin.near_duplicates(table(spark, d, "documents")).select("doc_a", "doc_b", F.lit(1).alias("rank"), F.lit("text").alias("method"))
+    image = table(spark, d, "image_matches").filter("similarity >= 0.9").select("doc_a", "doc_b", F.lit(2).alias("rank"), F.lit("image").alias("method"))
+    return near.union(image).groupBy("doc_a", "doc_b").agg(F.min_by("method", "rank").alias("method"))
+
+
+@query(_CAND + " SELECT method, count(*) AS pairs FROM c2 GROUP BY method")
+def method_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return candidate_union_precedence(spark, d).groupBy("method").agg(F.count("*").alias("pairs"))
+
+
+@query("SELECT DISTINCT doc_a, doc_b FROM image_matches a WHERE NOT EXISTS (SELECT 1 FROM image_matches b WHERE a.doc_a = b.doc_a AND a.doc_b = b.doc_b AND b.similarity >= 0.5)")
+def pending_pairs_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs without a result of 0.5 or more."""
+    pairs = table(spark, d, "image_matches")
+    return pairs.select("doc_a", "doc_b").distinct().join(pairs.filter("similarity >= 0.5").select("doc_a", "doc_b").distinct(), ["doc_a", "doc_b"], "left_anti")
+
+
+# matching
+
+
+_LSH = _SIG + (
+    ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id) WHERE len(list_distinct(p.tokens)) >= 12), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
+    " bd AS (SELECT para_id, doc_id, sig, i, sig[4 * i + 1 : 4 * i + 4] AS x FROM rp, range(8) r(i)),"
+    " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16"
+    " UNION SELECT least(z.doc_id, r.doc_id), greatest(z.doc_id, r.doc_id) FROM z JOIN hd ON z.sig = hd.sig JOIN rp r ON r.para_id = hd.rep WHERE z.doc_id <> r.doc_id)"
+)
+
+
+def _lsh(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Pairs of documents with paragraphs of 12 words or more whose signatures agree in one of 8 bands of 4 slots and in half of all slots.
+
+    Paragraphs with equal signatures are a class: its least paragraph is banded
+    for all, and each member is paired with it, so copies make no pairs of pairs.
+    """
+    rows = sketches.join(paragraphs.filter(F.size(F.array_distinct("tokens")) >= 12).select("para_id", "doc_id"), "para_id")
+    heads = rows.groupBy("sig").agg(F.min_by(F.struct("para_id", "doc_id"), "para_id").alias("rep"))
+    bands = heads.select(F.col("rep.para_id").alias("para_id"), F.col("rep.doc_id").alias("doc_id"), "sig", F.posexplode(F.array(*[F.slice("sig", 4 * i + 1, 4) for i in range(8)])).alias("i", "x"))
+    other = bands.select("i", "x", F.col("para_id").alias("p2"), F.col("doc_id").alias("d2"), F.col("sig").alias("sig2"))
+    near = bands.join(other, ["i", "x"]).filter("para_id < p2").filter(sketch.equal_slots(F.col("sig"), F.col("sig2")) >= fixed.SLOTS // 2).select(F.col("doc_id").alias("d1"), "d2")
+    copies = rows.join(heads, "sig").select(F.col("doc_id").alias("d1"), F.col("rep.doc_id").alias("d2"))
+    return near.union(copies).filter("d1 <> d2").select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b")).distinct()
+
+
+@query(_LSH + " SELECT doc_a, doc_b FROM lp")
+def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _lsh(materialise(minhash_sketch(spark, d)), _once(spark, d))
+
+
+_M = _LSH + (
+    ", c AS (SELECT doc_a, doc_b FROM image_matches UNION SELECT doc_a, doc_b FROM lp), o AS (SELECT p.*, k.sig FROM p JOIN k USING (para_id)),"
+    " s1 AS (SELECT c.doc_a, c.doc_b, a.para_id AS para_a, b.para_id AS para_b, a.para_index AS index_a, b.para_index AS index_b, len(list_filter(list_zip(a.sig, b.sig), lambda z : z[1] = z[2])) AS slots, a.text AS text_a, b.text AS text_b,"
+    " list_distinct(list_transform(a.tokens, lambda t : lower(t))) AS words_a, list_distinct(list_transform(b.tokens, lambda t : lower(t))) AS words_b FROM c JOIN o a ON a.doc_id = c.doc_a JOIN o b ON b.doc_id = c.doc_b AND a.source = b.source),"
+    " s AS (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY slots DESC, index_a, index_b, para_a, para_b) AS place FROM s1 WHERE slots >= 4),"
+    " j AS (SELECT *, len(list_intersect(words_a, words_b)) / len(list_distinct(list_concat(words_a, words_b))) AS jaccard FROM s WHERE place <= 5000)"
+)
+
+
+def _stage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    paragraphs = _once(spark, d).withColumn("source", F.coalesce("source", F.lit("text")))
+    sketches = materialise(minhash_sketch(spark, d))
+    pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").union(_lsh(sketches, paragraphs)).distinct()
+    return matching.stage_one(pairs, paragraphs, sketches), paragraphs
+
+
+@query(_M + " SELECT doc_a, doc_b, para_a, para_b, slots, place FROM s WHERE place <= 5000")
+def paragraph_stage1(spark: SparkSession, d: str) -> DataFrame:
+    return _stage(spark, d)[0].select("doc_a", "doc_b", "para_a", "para_b", "slots", "place")
+
+
+@query(_M + " SELECT doc_a, doc_b, para_a, para_b, round(jaccard, 6) AS jaccard FROM j")
+def paragraph_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    stage, paragraphs = _stage(spark, d)
+    return matching.verified(stage, paragraphs).select("doc_a", "doc_b", "para_a", "para_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+_MM = _M + ", mm AS (SELECT *, round(jaccard, 4) AS similarity FROM j WHERE jaccard >= 0.4), dd AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY doc_a, doc_b, left(text_a, 200), left(text_b, 200) ORDER BY similarity DESC, index_a, index_b, para_a, para_b) = 1)"
+
+
+def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    stage, paragraphs = _stage(spark, d)
+    rows = matching.verified(stage, paragraphs).filter("jaccard >= 0.4").withColumn("similarity", F.round("jaccard", 4))
+    return matching.deduplicated(rows), paragraphs
+
+
+@query(_MM + " SELECT doc_a, doc_b, para_a, para_b, similarity FROM dd")
+def match_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)[0].select("doc_a", "doc_b", "para_a", "para_b", "similarity")
+
+
+@query()
+def match_string_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The gated string ratio of matches, and what both texts have in common."""
+    from bidloom.functions import fuzzy
+
+    rows = _matches(spark, d)[0]
+    marked = rows.select("doc_a", "doc_b", "para_a", "para_b", fuzzy.string_ratio("text_a", "text_b", "jaccard", F.col("slots") / fixed.SLOTS).alias("ratio"), fuzzy.highlighted("text_a", "text_b").alias("h"))
+    return marked.select("doc_a", "doc_b", "para_a", "para_b", F.round("ratio", 6).alias("ratio"), F.col("h.parts").alias("parts"))
+
+
+_NORM = r"left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', '', 'g'), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.+-]+', 'EMAIL', 'g'), '1[3-9]\d{9}', 'PHONE', 'g'), '\d+(?:\.\d+)?', '#', 'g'), 500)"
+_TPL = f", b AS (SELECT h, count(*) AS docs FROM (SELECT DISTINCT doc_id, md5({_NORM}) AS h FROM p WHERE length(text) >= 12) GROUP BY h HAVING count(*) >= (SELECT greatest(3, CAST(floor(count(DISTINCT doc_id) * SHARE + 0.999) AS INTEGER)) FROM p))"
+
+
+@query(_P + _TPL.replace("SHARE", "0.02") + " SELECT h, docs FROM b")
+def template_docfreq(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised paragraphs in two hundredths of the documents or more."""
+    return matching.batch_templates(_once(spark, d), 0.02)
+
+
+_BP = "regexp_extract_all(text, '" + "|".join(fixed.BOILERPLATE) + "')"
+_BPR = f"coalesce(CASE WHEN length(text) > 0 THEN least(1.0::DOUBLE, list_sum(list_concat([0], list_transform({_BP}, lambda h : length(h)))) / length(text)) END, 0.0)"
+_INFO = (
+    "CASE WHEN length(text) > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(0.25::DOUBLE, len(words) / 40) + least(0.20::DOUBLE, len(list_filter(words, lambda w : length(w) >= 4)) / 25) + least(0.20::DOUBLE, len(regexp_extract_all(x, '\\d+(?:\\.\\d+)?')) / 20) + least(0.25::DOUBLE, ("
+    + " + ".join(f"(CASE WHEN contains(x, '{m}') THEN 1 ELSE 0 END)" for m in fixed.MARKERS)
+    + ") / 12) + least(0.10::DOUBLE, length(x) / 800) - least(0.35::DOUBLE, bp * 0.35))) ELSE 0.0 END"
+)
+
+
+@query(
+    _P
+    + f", i AS (SELECT para_id, text, regexp_replace(text, '\\s+', '', 'g') AS x, list_distinct(list_transform(tokens, lambda t : lower(t))) AS words, {_BPR} AS bp FROM p) SELECT para_id, round(bp, 6) AS boilerplate, round({_INFO}, 6) AS informativeness FROM i WHERE text IS NOT NULL"
+)
+def informativeness(spark: SparkSession, d: str) -> DataFrame:
+    rows = _once(spark, d).filter("text is not null").withColumn("bp", text.boilerplate_ratio(F.col("text")))
+    info = text.informativeness(F.col("text"), F.array_distinct(F.transform("tokens", F.lower)), F.col("bp"))
+    return rows.select("para_id", F.round("bp", 6).alias("boilerplate"), F.round(info, 6).alias("informativeness"))
+
+
+def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows, paragraphs = _matches(spark, d)
+    rows = materialise(rows)
+    return matching.decayed(rows, matching.batch_templates(paragraphs, 0.02)), paragraphs
+
+
+def _side(x: str, expr: str) -> str:
+    return expr.replace("text", f"text_{x}").replace("words", f"words_{x}").replace("bp", "boilerplate").replace("(x,", f"(x_{x},").replace("(x)", f"(x_{x})")
+
+
+_KEEP = (
+    _MM
+    + _TPL.replace("SHARE", "0.02")
+    + f", q AS (SELECT *, regexp_replace(text_a, '\\s+', '', 'g') AS x_a, regexp_replace(text_b, '\\s+', '', 'g') AS x_b, greatest({_side('a', _BPR)}, {_side('b', _BPR)}) AS boilerplate, md5({_NORM.replace('text', 'text_a')}) AS h FROM dd),"
+    + f" i AS (SELECT q.*, greatest({_side('a', _INFO)}, {_side('b', _INFO)}) AS info, b.h IS NOT NULL AS common, (length(text_a) + length(text_b)) / 2 AS size FROM q LEFT JOIN b ON q.h = b.h),"
+    " y AS (SELECT * REPLACE (round(similarity * (1 - boilerplate * 0.3), 4) AS similarity) FROM i WHERE NOT (size < 8 OR (common AND info < 0.40) OR (boilerplate >= 0.55 AND info < 0.28) OR (size < 80 AND boilerplate >= 0.35 AND info < 0.35 AND similarity < 0.98))),"
+    " fin AS (SELECT * FROM y WHERE similarity >= CASE WHEN least(length(text_a), length(text_b)) < 100 THEN 0.90 ELSE 0.80 END)"
+)
+
+
+@query(_KEEP + " SELECT doc_a, doc_b, para_a, para_b, similarity, round(info, 6) AS info FROM fin")
+def boilerplate_decay(spark: SparkSession, d: str) -> DataFrame:
+    """Matches left after the template filter, the decay by boilerplate and the threshold that depends on length."""
+    return _kept(spark, d)[0].select("doc_a", "doc_b", "para_a", "para_b", "similarity", F.round("info", 6).alias("info"))
+
+
+@query(
+    _MM
+    + ", n AS (SELECT doc_id, max(para_index) + 1 AS n FROM p GROUP BY doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY similarity DESC, para_a, para_b) AS pl FROM dd), g AS (SELECT doc_a, doc_b, count(*) AS matches, max(similarity) AS top, avg(CASE WHEN pl <= 8 THEN similarity END) AS eight, sum(similarity * similarity) / sum(similarity) AS mean, count(DISTINCT index_a) AS ua, count(DISTINCT index_b) AS ub FROM r GROUP BY doc_a, doc_b)"
+    " SELECT doc_a, doc_b, matches, round(top, 6) AS top, round((top * 0.4 + eight * 0.3 + mean * 0.2) * (1 - exp(-5 * (ua / greatest(a.n, ua) + ub / greatest(b.n, ub)) / 2)), 6) AS score FROM g JOIN n a ON a.doc_id = doc_a JOIN n b ON b.doc_id = doc_b"
+)
+def pair_text_score(spark: SparkSession, d: str) -> DataFrame:
+    rows, paragraphs = _matches(spark, d)
+    return matching.scores(rows, paragraphs)
+
+
+_RUN = ", w AS (SELECT *, index_a - lag(index_a) OVER o AS da, index_b - lag(index_b) OVER o AS db FROM dd WINDOW o AS (PARTITION BY doc_a, doc_b ORDER BY index_a, index_b, para_a, para_b)), x AS (SELECT *, sum(CASE WHEN COND THEN 0 ELSE 1 END) OVER (PARTITION BY doc_a, doc_b ORDER BY index_a, index_b, para_a, para_b) AS island FROM w), y AS (SELECT doc_a, doc_b, island, min(index_a) AS first_a, max(index_a) AS last_a, count(*) AS n, round(avg(similarity), 6) AS mean FROM x GROUP BY doc_a, doc_b, island HAVING count(*) >= LEAST) SELECT doc_a, doc_b, CAST(row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY island) AS INTEGER) AS run, first_a, last_a, n, mean FROM y"
+
+
+@query(_MM + _RUN.replace("COND", "da = 1 AND db = 1").replace("LEAST", "3"))
+def clone_runs(spark: SparkSession, d: str) -> DataFrame:
+    return matching.runs(_matches(spark, d)[0], 1, 1, fixed.RUN_MIN)
+
+
+@query(_MM + _RUN.replace("COND", "da <= 2 AND db <= 2").replace("LEAST", "2"))
+def clone_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return matching.runs(_matches(spark, d)[0], fixed.BLOCK_GAP, fixed.BLOCK_GAP, fixed.BLOCK_MIN)
+
+
+# sections
+
+
+_PAGES = _P + ", g AS (SELECT doc_id, page_num AS page, string_agg(text, chr(10) ORDER BY para_index, para_id) AS text FROM p WHERE page_num >= 1 AND text IS NOT NULL GROUP BY doc_id, page_num)"
+_COUNT = lambda terms: " + ".join(f"(length(x) - length(replace(x, '{t}', ''))) // {len(t)}" for t in terms)
+_TERMS = _PAGES + f", k AS (SELECT doc_id, page, text, regexp_replace(text, '\\s+', '', 'g') AS x FROM g), n AS (SELECT doc_id, page, text, {_COUNT(fixed.TECHNICAL_TERMS)} AS technical, {_COUNT(fixed.COMMERCIAL_TERMS)} AS commercial FROM k)"
+
+
+@query(_TERMS + " SELECT doc_id, page, technical, commercial FROM n")
+def keyword_density(spark: SparkSession, d: str) -> DataFrame:
+    return sections.page_terms(sections.page_texts(table(spark, d, "paragraphs")))
+
+
+_LABELS = (
+    _TERMS
+    + r", hd AS (SELECT *, left(regexp_replace(left(text, 120), '\s+', '', 'g'), 120) AS head FROM n), mk AS (SELECT *, (length(head) <= 80 OR regexp_matches(head, '^(?:第|[一二三四五六七八九十]+、)')) AS short FROM hd), tl AS (SELECT doc_id, page, CASE WHEN short AND regexp_matches(head, '"
+    + "|".join(fixed.COMMERCIAL_TITLES)
+    + "') THEN 'c' WHEN short AND regexp_matches(head, '"
+    + "|".join(fixed.TECHNICAL_TITLES)
+    + "') THEN 't' END AS title, CASE WHEN commercial > technical THEN 'c' WHEN technical > commercial THEN 't' END AS dense FROM mk),"
+    " st AS (SELECT doc_id, min(CASE WHEN title = 't' THEN page END) AS tt, min(CASE WHEN title = 'c' THEN page END) AS tc, min(CASE WHEN dense = 't' THEN page END) AS dt, min(CASE WHEN dense = 'c' THEN page END) AS dc FROM tl GROUP BY doc_id),"
+    " ch AS (SELECT doc_id, CASE WHEN tt IS NOT NULL OR tc IS NOT NULL THEN tt ELSE dt END AS t, CASE WHEN tt IS NOT NULL OR tc IS NOT NULL THEN tc ELSE dc END AS c, CASE WHEN tt IS NOT NULL OR tc IS NOT NULL THEN 'title' WHEN dt IS NOT NULL OR dc IS NOT NULL THEN 'density' ELSE 'none' END AS method FROM st),"
+    " lb AS (SELECT g.doc_id, g.page, CASE WHEN t IS NULL AND c IS NULL THEN 'unknown' WHEN c IS NULL THEN 'technical' WHEN t IS NULL THEN 'commercial' WHEN t < c THEN CASE WHEN page < c THEN 'technical' ELSE 'commercial' END WHEN c < t THEN CASE WHEN page < t THEN 'commercial' ELSE 'technical' END ELSE 'unknown' END AS label, method FROM g JOIN ch USING (doc_id))"
+)
+
+
+@query(_LABELS + " SELECT doc_id, page, label, method FROM lb")
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    return sections.page_labels(sections.page_texts(table(spark, d, "paragraphs")))
+
+
+@query(_LABELS + " SELECT p.para_id, p.doc_id FROM p JOIN lb ON lb.doc_id = p.doc_id AND lb.page = p.page_num WHERE lb.label = 'technical'")
+def dimension_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return sections.in_dimension(_once(spark, d), page_sections(spark, d), "technical").select("para_id", "doc_id")
+
+
+@query(
+    _P
+    + r", f AS (SELECT p.para_id, p.doc_id, length(trim(text)) >= 2 AND (regexp_matches(trim(text), '^第[一二三四五六七八九十百千\d]+[章节条]') OR (regexp_matches(trim(text), '^\d+(?:\.\d+)+\s+\S') AND length(trim(text)) < 70) OR (regexp_matches(trim(text), '^[（(]?[一二三四五六七八九十百千\d]+[）、.)]\s*\S') AND length(trim(text)) < 40) OR regexp_matches(trim(text), '^目[ \t]*录\s*$')) AS toc, page_num / d.page_count < 0.2 AS front FROM p LEFT JOIN (SELECT DISTINCT doc_id, page_count FROM documents) d USING (doc_id)) SELECT para_id, doc_id FROM f WHERE NOT (coalesce(toc, false) AND coalesce(front, false))"
+)
+def toc_filter(spark: SparkSession, d: str) -> DataFrame:
+    return sections.body_paragraphs(_once(spark, d), table(spark, d, "documents")).select("para_id", "doc_id")
+
+
+# graph and report
+
+
+_EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT doc_a AS a, doc_b AS b FROM image_matches WHERE similarity >= 0.7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY node)"
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "image_matches").filter("similarity >= 0.7").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
+@query(_EDGES + " SELECT node, component FROM c")
+def risk_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(_edges(spark, d))
+
+
+@query(_EDGES + ", s AS (SELECT component, count(*) AS docs FROM c GROUP BY component), m AS (SELECT c.component, count(*) AS pairs, sum(CASE WHEN i.sim > 0.9 THEN 1 ELSE 0 END)::BIGINT AS strong FROM (SELECT doc_a, doc_b, max(similarity) AS sim FROM image_matches WHERE similarity >= 0.7 GROUP BY 1, 2) i JOIN c ON c.node = i.doc_a GROUP BY 1) SELECT component, docs, pairs, CASE WHEN strong >= docs THEN 'TEXT_CLONE' WHEN pairs >= docs THEN 'META_GROUP' ELSE 'TEXT_CLONE' END AS kind, CASE WHEN docs >= 3 THEN 0.8::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM s JOIN m USING (component) WHERE docs >= 3 OR strong > 0")
+def cluster_type(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters with their type by vote of their pairs; a pair alone counts only with a similarity over 0.9."""
+    nodes = risk_components(spark, d)
+    size = nodes.groupBy("component").agg(F.count("*").alias("docs"))
+    pairs = table(spark, d, "image_matches").filter("similarity >= 0.7").groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("sim"))
+    votes = pairs.join(nodes, F.col("doc_a") == F.col("node")).groupBy("component").agg(F.count("*").alias("pairs"), F.count_if(F.col("sim") > 0.9).alias("strong"))
+    kind = F.when(F.col("strong") >= F.col("docs"), "TEXT_CLONE").when(F.col("pairs") >= F.col("docs"), "META_GROUP").otherwise("TEXT_CLONE")
+    return size.join(votes, "component").filter("docs >= 3 or strong > 0").select("component", "docs", "pairs", kind.alias("kind"), F.when(F.col("docs") >= 3, 0.8).otherwise(0.95).alias("confidence"))
+
+
+@query("WITH e AS (SELECT DISTINCT doc_a, doc_b FROM image_matches WHERE similarity >= 0.7), x AS (SELECT doc_a AS doc_id FROM e UNION ALL SELECT doc_b FROM e), n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id) SELECT d.doc_id, coalesce(n.n, 0) AS evidence_pairs FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id)")
+def file_profiles(spark: SparkSession, d: str) -> DataFrame:
+    ends = _edges(spark, d).select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select("doc_id").distinct().join(ends, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("evidence_pairs"))
+
+
+@query("SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS files, (SELECT count(DISTINCT doc_id) * (count(DISTINCT doc_id) - 1) // 2 FROM documents) AS possible_pairs, (SELECT count(*) FROM (SELECT DISTINCT doc_a, doc_b FROM image_matches)) AS candidates, (SELECT count(*) FROM (SELECT DISTINCT doc_a, doc_b FROM image_matches WHERE similarity >= 0.7)) AS suspicious")
+def report_counters(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").agg(F.countDistinct("doc_id").alias("files"))
+    pairs = table(spark, d, "image_matches").groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("s")).agg(F.count("*").alias("candidates"), F.count_if(F.col("s") >= 0.7).alias("suspicious"))
+    n = F.col("files")
+    return files.join(F.broadcast(pairs)).select("files", F.floor(n * (n - 1) / 2).alias("possible_pairs"), "candidates", "suspicious")
+
+
+@query()
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON object for each cluster, as the report's sink writes them."""
+    return store.json_lines(cluster_type(spark, d))
+
+
+# quotes
+
+
+@query(
+    "WITH q AS (SELECT o_custkey, round(o_totalprice, 2) AS v FROM orders), g AS (SELECT o_custkey, v, lpad(CAST(CAST(floor(round((v - floor(v)) * 100, 4)) AS INTEGER) AS VARCHAR), 2, '0') AS tail FROM q) SELECT o_custkey, count(*) AS quotes, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS deviation, round(avg(CASE WHEN v = floor(v) THEN 1 ELSE 0 END), 6) AS whole, count(DISTINCT tail) AS tails FROM g GROUP BY o_custkey"
+)
+def quote_signature(spark: SparkSession, d: str) -> DataFrame:
+    """Of each customer's amounts: count, mean, deviation, share of whole amounts and number of different cents."""
+    v = F.col("v")
+    q = table(spark, d, "orders").select("o_custkey", F.round("o_totalprice", 2).alias("v"))
+    tail = F.lpad(F.floor(F.round((v - F.floor(v)) * 100, 4)).cast("int").cast("string"), 2, "0")
+    return q.groupBy("o_custkey").agg(
+        F.count("*").alias("quotes"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("deviation"), F.round(F.avg(F.when(v == F.floor(v), 1).otherwise(0)), 6).alias("whole"), F.countDistinct(tail).alias("tails")
+    )
+
+
+@query(r"WITH x AS (SELECT doc_id, regexp_extract_all(text, '([\d,]+\.?\d*)\s*(万?)元', 1) AS a, regexp_extract_all(text, '([\d,]+\.?\d*)\s*(万?)元', 2) AS u FROM documents WHERE text IS NOT NULL) SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_zip(a, u), lambda z : try_cast(replace(z[1], ',', '') AS DOUBLE) * CASE WHEN z[2] = '万' THEN 10000.0 ELSE 1.0 END), lambda v : v IS NOT NULL))) AS amounts FROM x")
+def money_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.money(F.col("text")).alias("amounts"))
+
+
+# images
+
+
+@query(
+    "WITH h AS (SELECT DISTINCT image_hash AS s FROM ocr_results WHERE regexp_matches(image_hash, '^[0-9a-f]{16}$')), x AS (SELECT s, ('0x' || left(s, 8))::BIGINT AS hi, ('0x' || right(s, 8))::BIGINT AS lo FROM h) SELECT least(a.s, b.s) AS hash_a, greatest(a.s, b.s) AS hash_b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS d FROM x a JOIN x b ON a.s < b.s WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 9"
+)
+def image_hamming_join(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different picture hashes at most 9 bits apart; exact."""
+    return images.near(table(spark, d, "ocr_results"))
+
+
+@query("WITH g AS (SELECT image_hash, count(DISTINCT doc_id) AS docs, count(DISTINCT ocr_id) AS pictures FROM ocr_results WHERE image_hash <> '' GROUP BY image_hash) SELECT CASE WHEN docs > 1 THEN 'shared' WHEN pictures > 1 THEN 'repeated' ELSE 'single' END AS bucket, count(*) AS hashes, sum(pictures)::BIGINT AS pictures FROM g GROUP BY 1")
+def image_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return images.buckets(table(spark, d, "ocr_results"))
+
+
+_OCR = r"WITH o AS (SELECT DISTINCT ocr_id, doc_id, image_hash, text, w, h, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x : length(x) > 1)) AS words FROM ocr_results WHERE length(text) >= 10), m AS (SELECT DISTINCT doc_a, doc_b FROM image_matches), c AS (SELECT m.doc_a, m.doc_b, a.ocr_id AS ocr_a, b.ocr_id AS ocr_b, a.image_hash AS ha, b.image_hash AS hb, length(a.text) AS la, length(b.text) AS lb, a.w AS wa, b.w AS wb, a.h AS hta, b.h AS htb, CASE WHEN len(list_distinct(list_concat(a.words, b.words))) > 0 THEN len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) ELSE 0.0 END AS jaccard FROM m JOIN o a ON a.doc_id = m.doc_a JOIN o b ON b.doc_id = m.doc_b)"
+
+
+@query(_OCR + " SELECT doc_a, doc_b, ocr_a, ocr_b, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.92 THEN 'identical' ELSE 'similar' END AS kind FROM c WHERE jaccard >= 0.80")
+def ocr_text_join(spark: SparkSession, d: str) -> DataFrame:
+    return images.text_pairs(table(spark, d, "image_matches"), table(spark, d, "ocr_results"))
+
+
+@query(
+    _OCR
+    + ", x AS (SELECT *, CAST(bit_count(xor(('0x' || left(ha, 8))::BIGINT, ('0x' || left(hb, 8))::BIGINT)) + bit_count(xor(('0x' || right(ha, 8))::BIGINT, ('0x' || right(hb, 8))::BIGINT)) AS INTEGER) AS dist FROM c WHERE regexp_matches(ha, '^[0-9a-f]{16}$') AND regexp_matches(hb, '^[0-9a-f]{16}$') AND jaccard < 0.55)"
+    " SELECT doc_a, doc_b, ocr_a, ocr_b, dist FROM x WHERE dist <= 10 AND 1 + (CASE WHEN coalesce(least(wa, wb) > 0 AND greatest(wa, wb) / least(wa, wb) <= 1.2 AND greatest(hta, htb) / least(hta, htb) <= 1.2, false) THEN 1 ELSE 0 END) + (CASE WHEN greatest(la, lb) / least(la, lb) <= 1.5 THEN 1 ELSE 0 END) >= 2"
+)
+def ps_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures with like backgrounds and different texts."""
+    return images.edited(table(spark, d, "image_matches"), table(spark, d, "ocr_results"))
+
+
+@query(
+    "WITH m AS (SELECT DISTINCT doc_a, doc_b FROM image_matches), w AS (SELECT DISTINCT doc_id, unnest(words) AS x FROM ocr_results), k AS (SELECT doc_id, x FROM w WHERE length(x) >= 2), p AS (SELECT DISTINCT a.x AS word_a, b.x AS word_b, m.doc_a, m.doc_b FROM m JOIN k a ON a.doc_id = m.doc_a JOIN k b ON b.doc_id = m.doc_b AND length(a.x) = length(b.x) AND a.x <> b.x),"
+    " z AS (SELECT *, list_filter(list_zip(string_split(word_a, ''), string_split(word_b, '')), lambda q : q[1] <> q[2]) AS f FROM p) SELECT doc_a, doc_b, word_a, word_b FROM z WHERE len(f) = 1 AND list_contains(["
+    + ", ".join(f"'{x}', '{x[::-1]}'" for x in fixed.CONFUSABLE)
+    + "], f[1][1] || f[1][2])"
+)
+def confusable_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of two pictures' documents that differ in one character, which is easily confused."""
+    return images.confusable(table(spark, d, "image_matches"), table(spark, d, "ocr_results"))
+
+
+# store and check items
+
+
+@query("SELECT company_record_id, registration_company_id, section_id, bidder_name, doc_id FROM companies QUALIFY row_number() OVER (PARTITION BY company_record_id ORDER BY submitted_at DESC NULLS LAST, bid_file_url NULLS LAST, bidder_name NULLS LAST) = 1")
+def latest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.upserted(table(spark, d, "companies"), ["company_record_id"], [F.desc_nulls_last("submitted_at"), F.asc_nulls_last("bid_file_url"), F.asc_nulls_last("bidder_name")])
+    return rows.select("company_record_id", "registration_company_id", "section_id", "bidder_name", "doc_id")
+
+
+@query("SELECT doc_id, CAST(count(DISTINCT para_id) AS BIGINT) AS paragraphs, CAST(coalesce(max(para_index), -1) + 1 AS INTEGER) AS next_index FROM paragraphs WHERE para_index >= 1 AND para_index < 5 GROUP BY doc_id")
+def range_reads(spark: SparkSession, d: str) -> DataFrame:
+    """A range of paragraphs by index, as a pushed-down filter."""
+    rows = table(spark, d, "paragraphs").filter("para_index >= 1 and para_index < 5")
+    return rows.groupBy("doc_id").agg(F.countDistinct("para_id").alias("paragraphs"), (F.coalesce(F.max("para_index"), F.lit(-1)) + 1).cast("int").alias("next_index"))
+
+
+@query("SELECT doc_id, left(text, 50000) AS preview, length(text) AS size FROM documents WHERE text IS NOT NULL")
+def text_preview(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.substring("text", 1, 50000).alias("preview"), F.length("text").cast("long").alias("size"))
+
+
+_ITEM = "WITH r AS (SELECT company_record_id, registration_company_id, section_id, doc_id FROM companies QUALIFY row_number() OVER (PARTITION BY company_record_id ORDER BY submitted_at DESC NULLS LAST, bid_file_url NULLS LAST, bidder_name NULLS LAST) = 1), k AS (SELECT doc_id, any_value({key}) AS key FROM documents GROUP BY doc_id), x AS (SELECT r.*, k.key FROM r LEFT JOIN k USING (doc_id)), g AS (SELECT key, count(*) AS n FROM x WHERE key <> '' GROUP BY key) SELECT company_record_id, section_id, CASE WHEN g.n > 1 THEN 'FAILED' ELSE 'SUCCESS' END AS status, coalesce(g.n - 1, 0) AS similar_companies FROM x LEFT JOIN g USING (key)"
+
+
+@query(_ITEM.format(key="trim(author)"))
+def item_author(spark: SparkSession, d: str) -> DataFrame:
+    return items.same_value(table(spark, d, "companies"), table(spark, d, "documents"), F.trim("author"))
+
+
+@query(_ITEM.format(key="CASE WHEN trim(coalesce(creator, '')) <> '' OR trim(coalesce(producer, '')) <> '' THEN coalesce(creator, '') || '|' || coalesce(producer, '') END"))
+def item_editor(spark: SparkSession, d: str) -> DataFrame:
+    return items.same_value(table(spark, d, "companies"), table(spark, d, "documents"), items.editor_key())
+
+
+@query(_ITEM.format(key="CASE WHEN trim(text) <> '' THEN md5(text) END"))
+def item_file_code(spark: SparkSession, d: str) -> DataFrame:
+    return items.same_value(table(spark, d, "companies"), table(spark, d, "documents"), F.when(F.trim("text") != "", F.md5("text")))
+
+
+@query(
+    _C.replace("WITH r AS", "WITH r0 AS (SELECT company_record_id, section_id, doc_id FROM companies QUALIFY row_number() OVER (PARTITION BY company_record_id ORDER BY submitted_at DESC NULLS LAST, bid_file_url NULLS LAST, bidder_name NULLS LAST) = 1), r AS")
+    + ", s AS (SELECT e.doc_id, CAST(sum(CASE WHEN kind = 'mobile' THEN 1 ELSE 0 END) AS BIGINT) AS mobiles, CAST(sum(CASE WHEN kind = 'landline' THEN 1 ELSE 0 END) AS BIGINT) AS phones, CAST(sum(CASE WHEN kind = 'email' THEN 1 ELSE 0 END) AS BIGINT) AS emails, CAST(sum(CASE WHEN kind = 'contact' THEN 1 ELSE 0 END) AS BIGINT) AS persons FROM e JOIN g USING (kind, value) WHERE g.docs > 1 GROUP BY e.doc_id)"
+    " SELECT company_record_id, section_id, CASE WHEN coalesce(mobiles + phones + emails + persons, 0) > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, coalesce(mobiles, 0) AS mobiles, coalesce(phones, 0) AS phones, coalesce(emails, 0) AS emails, coalesce(persons, 0) AS persons FROM r0 LEFT JOIN s USING (doc_id)"
+)
+def item_contact(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each company's contact values another document has, and the verdict."""
+    return items.contact(table(spark, d, "companies"), contact_entities(spark, d), contact_groups(spark, d))
+
+
+@query()
+def item_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each company's verdict by text: FAILED if a pair of its document scores 0.3 or has a match left."""
+    return items.text_verdicts(table(spark, d, "companies"), pair_text_score(spark, d), boilerplate_decay(spark, d))
