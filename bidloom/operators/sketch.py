@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions import fixed
+from bidloom.session import materialise
 
 
 def hash_slot(token: Column, seed: int) -> Column:
@@ -16,9 +17,10 @@ def hash_slot(token: Column, seed: int) -> Column:
 def minhash(tokens: DataFrame, key: str, slots: int = fixed.SLOTS) -> DataFrame:
     """(key, sig): MinHash signatures of the sets of tokens given as (key, token) rows.
 
-    Each distinct token is hashed once; the minima are partial aggregates.
+    Each distinct token is hashed once, in a table of its own (else the optimiser
+    moves the hashing behind the join, to every row); the minima are partial aggregates.
     """
-    vocabulary = tokens.select("token").distinct().select("token", *[hash_slot(F.col("token"), s).alias(f"s{s}") for s in range(slots)])
+    vocabulary = materialise(tokens.select("token").distinct().select("token", *[hash_slot(F.col("token"), s).alias(f"s{s}") for s in range(slots)]))
     mins = tokens.select(key, "token").distinct().join(vocabulary, "token").groupBy(key).agg(*[F.min(f"s{s}").alias(f"s{s}") for s in range(slots)])
     return mins.select(key, F.array(*[f"s{s}" for s in range(slots)]).alias("sig"))
 
