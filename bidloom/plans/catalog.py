@@ -14,6 +14,9 @@ from bidloom.session import materialise
 from bidloom.sources import store
 from bidloom.sources.tables import table
 
+#: Slots of 32 in which near-duplicate paragraphs agree: a similarity of 0.8 or more.
+NEAR_SLOTS = 26
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -321,13 +324,13 @@ def pending_pairs_anti(spark: SparkSession, d: str) -> DataFrame:
 _LSH = _SIG + (
     ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id) WHERE len(list_distinct(p.tokens)) >= 12), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
     " bd AS (SELECT para_id, doc_id, sig, i, sig[4 * i + 1 : 4 * i + 4] AS x FROM rp, range(8) r(i)),"
-    " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16"
+    " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 26"
     " UNION SELECT least(z.doc_id, r.doc_id), greatest(z.doc_id, r.doc_id) FROM z JOIN hd ON z.sig = hd.sig JOIN rp r ON r.para_id = hd.rep WHERE z.doc_id <> r.doc_id)"
 )
 
 
 def _lsh(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Pairs of documents with paragraphs of 12 words or more whose signatures agree in one of 8 bands of 4 slots and in half of all slots.
+    """Pairs of documents with paragraphs of 12 words or more whose signatures agree in one of 8 bands of 4 slots and in four fifths of all slots.
 
     Paragraphs with equal signatures are a class: its least paragraph is banded
     for all, and each member is paired with it, so copies make no pairs of pairs.
@@ -336,7 +339,7 @@ def _lsh(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
     heads = rows.groupBy("sig").agg(F.min_by(F.struct("para_id", "doc_id"), "para_id").alias("rep"))
     bands = heads.select(F.col("rep.para_id").alias("para_id"), F.col("rep.doc_id").alias("doc_id"), "sig", F.posexplode(F.array(*[F.slice("sig", 4 * i + 1, 4) for i in range(8)])).alias("i", "x"))
     other = bands.select("i", "x", F.col("para_id").alias("p2"), F.col("doc_id").alias("d2"), F.col("sig").alias("sig2"))
-    near = bands.join(other, ["i", "x"]).filter("para_id < p2").filter(sketch.equal_slots(F.col("sig"), F.col("sig2")) >= fixed.SLOTS // 2).select(F.col("doc_id").alias("d1"), "d2")
+    near = bands.join(other, ["i", "x"]).filter("para_id < p2").filter(sketch.equal_slots(F.col("sig"), F.col("sig2")) >= NEAR_SLOTS).select(F.col("doc_id").alias("d1"), "d2")
     copies = rows.join(heads, "sig").select(F.col("doc_id").alias("d1"), F.col("rep.doc_id").alias("d2"))
     return near.union(copies).filter("d1 <> d2").select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b")).distinct()
 
