@@ -326,19 +326,44 @@ _LSH = _SIG + (
 )
 
 
+def _lsh_classes(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(para_id, doc_id, class_id, sig): paragraphs of 12 words or more; those with equal signatures are a class, numbered by its least paragraph."""
+    rows = sketches.join(paragraphs.filter(F.size(F.array_distinct("tokens")) >= 12).select("para_id", "doc_id"), "para_id")
+    return rows.join(rows.groupBy("sig").agg(F.min("para_id").alias("class_id")), "sig").select("para_id", "doc_id", "class_id", "sig")
+
+
+def _lsh_links(classes: DataFrame) -> DataFrame:
+    """(class_a, class_b), class_a < class_b: classes whose signatures agree in one of 8 bands of 4 slots and in half of all slots."""
+    heads = classes.filter("para_id = class_id").select("class_id", "sig")
+    bands = heads.select(F.col("class_id").alias("class_a"), F.col("sig").alias("sig_a"), F.posexplode(F.array(*[F.slice("sig", 4 * i + 1, 4) for i in range(8)])).alias("i", "x"))
+    other = bands.select("i", "x", F.col("class_a").alias("class_b"), F.col("sig_a").alias("sig_b"))
+    near = bands.join(other, ["i", "x"]).filter("class_a < class_b").filter(sketch.equal_slots(F.col("sig_a"), F.col("sig_b")) >= fixed.SLOTS // 2)
+    return near.select("class_a", "class_b").distinct()
+
+
+def _doc_pairs(rows: DataFrame) -> DataFrame:
+    return rows.filter("d1 <> d2").select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b")).distinct()
+
+
 def _lsh(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Pairs of documents with paragraphs of 12 words or more whose signatures agree in one of 8 bands of 4 slots and in half of all slots.
+    """Pairs of documents by their classes' least paragraphs: links between those of near classes, and each member with its own.
 
-    Paragraphs with equal signatures are a class: its least paragraph is banded
-    for all, and each member is paired with it, so copies make no pairs of pairs.
+    Copies make no pairs of pairs here; with ``lsh_classes`` and ``lsh_links`` this is every pair, see ``_lsh_all``.
     """
-    rows = sketches.join(paragraphs.filter(F.size(F.array_distinct("tokens")) >= 12).select("para_id", "doc_id"), "para_id")
-    heads = rows.groupBy("sig").agg(F.min_by(F.struct("para_id", "doc_id"), "para_id").alias("rep"))
-    bands = heads.select(F.col("rep.para_id").alias("para_id"), F.col("rep.doc_id").alias("doc_id"), "sig", F.posexplode(F.array(*[F.slice("sig", 4 * i + 1, 4) for i in range(8)])).alias("i", "x"))
-    other = bands.select("i", "x", F.col("para_id").alias("p2"), F.col("doc_id").alias("d2"), F.col("sig").alias("sig2"))
-    near = bands.join(other, ["i", "x"]).filter("para_id < p2").filter(sketch.equal_slots(F.col("sig"), F.col("sig2")) >= fixed.SLOTS // 2).select(F.col("doc_id").alias("d1"), "d2")
-    copies = rows.join(heads, "sig").select(F.col("doc_id").alias("d1"), F.col("rep.doc_id").alias("d2"))
-    return near.union(copies).filter("d1 <> d2").select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b")).distinct()
+    classes = materialise(_lsh_classes(sketches, paragraphs))
+    rep = lambda k, d: classes.filter("para_id = class_id").select(F.col("class_id").alias(k), F.col("doc_id").alias(d))
+    near = _lsh_links(classes).join(rep("class_a", "d1"), "class_a").join(rep("class_b", "d2"), "class_b").select("d1", "d2")
+    copies = classes.select("class_id", F.col("doc_id").alias("d1")).join(rep("class_id", "d2"), "class_id").select("d1", "d2")
+    return _doc_pairs(near.union(copies))
+
+
+def _lsh_all(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Pairs of documents with paragraphs of one class or of linked classes, for every member of the classes."""
+    classes = materialise(_lsh_classes(sketches, paragraphs))
+    member = lambda k, d: classes.select(F.col("class_id").alias(k), F.col("doc_id").alias(d)).distinct()
+    near = _lsh_links(classes).join(member("class_a", "d1"), "class_a").join(member("class_b", "d2"), "class_b").select("d1", "d2")
+    copies = member("class_id", "d1").join(member("class_id", "d2"), "class_id").select("d1", "d2")
+    return _doc_pairs(near.union(copies))
 
 
 @query(_LSH + " SELECT doc_a, doc_b FROM lp")
@@ -346,6 +371,18 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _lsh(materialise(minhash_sketch(spark, d)), _once(spark, d))
 
 
+@query()
+def lsh_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each paragraph of ``lsh_candidates``."""
+    return _lsh_classes(materialise(minhash_sketch(spark, d)), _once(spark, d)).select("para_id", "doc_id", "class_id")
+
+
+@query()
+def lsh_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between the classes of ``lsh_classes``."""
+    return _lsh_links(materialise(_lsh_classes(materialise(minhash_sketch(spark, d)), _once(spark, d))))
+
+
 _M = _LSH + (
     ", c AS (SELECT doc_a, doc_b FROM image_matches UNION SELECT doc_a, doc_b FROM lp), o AS (SELECT p.*, k.sig FROM p JOIN k USING (para_id)),"
     " s1 AS (SELECT c.doc_a, c.doc_b, a.para_id AS para_a, b.para_id AS para_b, a.para_index AS index_a, b.para_index AS index_b, len(list_filter(list_zip(a.sig, b.sig), lambda z : z[1] = z[2])) AS slots, a.text AS text_a, b.text AS text_b,"
@@ -358,7 +395,7 @@ _M = _LSH + (
 def _stage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     paragraphs = _once(spark, d).withColumn("source", F.coalesce("source", F.lit("text")))
     sketches = materialise(minhash_sketch(spark, d))
-    pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").union(_lsh(sketches, paragraphs)).distinct()
+    pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").union(_lsh_all(sketches, paragraphs)).distinct()
     return matching.stage_one(pairs, paragraphs, sketches), paragraphs
 
 

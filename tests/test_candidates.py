@@ -14,3 +14,14 @@ def test_half_of_the_slots_makes_a_candidate(spark):
     agree = lambda n, other: base[:n] + [other + i for i in range(32 - n)]
     got = candidates(spark, {1: base, 2: agree(16, 1000), 3: agree(20, 2000), 4: agree(25, 3000), 5: agree(15, 4000)})
     assert {p for p in got if 1 in p} == {(1, 2), (1, 3), (1, 4)}
+
+
+def test_every_document_of_a_class_reaches_the_stage(spark, tmp_path):
+    passage, near = [f"w{i}" for i in range(20)], [f"w{i}" for i in range(19)] + ["other"]
+    rows = [(10 * k, k, 0, 1, " ".join(w), w, "text") for k, w in ((1, passage), (2, passage), (3, passage), (4, near))]
+    spark.createDataFrame(rows, "para_id long, doc_id long, para_index int, page_num int, text string, tokens array<string>, source string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    spark.createDataFrame([], "doc_a long, doc_b long, similarity double").write.parquet(f"{tmp_path}/image_matches.parquet")
+    got = {(r["doc_a"], r["doc_b"]) for r in catalog.paragraph_stage1(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+    assert {tuple(r) for r in catalog.lsh_classes(spark, str(tmp_path)).collect()} == {(10, 1, 10), (20, 2, 10), (30, 3, 10), (40, 4, 40)}
+    assert {tuple(r) for r in catalog.lsh_links(spark, str(tmp_path)).collect()} == {(10, 40)}
