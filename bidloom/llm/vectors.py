@@ -8,7 +8,11 @@ array. A query's window in each array is centred on the query and is expanded
 level by level by virtual rehashing (a level joins twice as many of the basic
 buckets); vectors that fall into the query's windows at least as often as the
 level's threshold are verified by their cosine. A query stops when it has k
-verified neighbours that are nearer than the next level could add.
+verified neighbours that are nearer than the next level could add. Then its k-th
+cosine (or the least one asked for) says for each unseen vector how near the
+differences from the centroid would have to be, and with it how many collisions a
+nearer vector has at least; those that have them are verified too. In a tight
+group, where differences say little, that is up to every vector of the cell.
 
 Scale: a cell is cut into chunks, and a task gets one chunk of queries and one of
 vectors, so a cell with a third of all vectors is many tasks of bounded size. The
@@ -18,6 +22,7 @@ is indexed; recall against brute force is measured in the tests.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,10 @@ SURE = (0.93, -1.0)
 #: Collisions of DIRECTIONS that make a candidate, by level.
 FOUND_COLLISIONS = (50, 59)
 TOP_COLLISIONS = (30, 38)
+#: Standard deviations below the expected collisions of a vector at the k-th cosine that still count as possible.
+DEVIATIONS = 3
+#: Bound of the error of a cosine in single precision.
+SLACK = 1e-5
 QUERIES, VECTORS, AT_ONCE = 4096, 16384, 256
 #: Projections are rounded to basic buckets of this width.
 BUCKET = 1 / 32
@@ -112,6 +121,30 @@ def _cells(c: np.ndarray):
     return run
 
 
+def _least_collisions(half: float) -> np.ndarray:
+    """By hundredth of the cosine of two differences from -1 on: the collisions of DIRECTIONS that such a pair has at least."""
+    p = np.array([math.erf(half / (2 * math.sqrt(1 - r / 100))) for r in range(-100, 96)])
+    return np.floor(DIRECTIONS * p - DEVIATIONS * np.sqrt(DIRECTIONS * p * (1 - p)))
+
+
+def _cosines(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    cosine = np.empty(len(row))
+    for b in range(0, len(row), 1 << 15):
+        s = slice(b, b + (1 << 15))
+        cosine[s] = np.einsum("ij,ij->i", q[row[s]], x[col[s]], dtype=np.float64)
+    return cosine
+
+
+def _kth(row: np.ndarray, cosine: np.ndarray, rows: int, k: int, least: float) -> np.ndarray:
+    """For each row its cosine of place ``k`` from 0, ``least`` if it has fewer."""
+    order = np.lexsort((-cosine, row))
+    first = np.searchsorted(row[order], np.arange(rows))
+    has = np.bincount(row, minlength=rows) > k
+    kth = np.full(rows, least)
+    kth[has] = cosine[order[first[has] + k]]
+    return kth
+
+
 def collide(q: np.ndarray, x: np.ndarray, c: np.ndarray, directions: np.ndarray, collisions: tuple[int, ...], k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, cosine) of verified candidates, up to k of each query with a cosine of at least ``least``."""
 
@@ -121,11 +154,14 @@ def collide(q: np.ndarray, x: np.ndarray, c: np.ndarray, directions: np.ndarray,
         return np.rint(r @ directions / BUCKET).astype(np.int32)
 
     zx, out = project(x), ([], [], [])
+    along_x = x @ c
+    off_x = np.sqrt(np.maximum(1 - along_x**2, 0))
     order = np.argsort(zx, axis=0, kind="stable")
     arrays = np.take_along_axis(zx, order, 0)
     rank = np.empty((zx.shape[1], len(x)), np.uint16)
     for j in range(zx.shape[1]):
         rank[j, order[:, j]] = np.arange(len(x))
+    possible_from = [_least_collisions(half) for half in LEVELS]
     for a in range(0, len(q), AT_ONCE):
         part = q[a : a + AT_ONCE]
         zq = project(part)
@@ -141,19 +177,28 @@ def collide(q: np.ndarray, x: np.ndarray, c: np.ndarray, directions: np.ndarray,
                 hi = np.searchsorted(arrays[:, j], zq[open_, j] + wide, side="right")
                 count += (rank[j][None] - lo.astype(np.uint16)[:, None]) < (hi - lo).astype(np.uint16)[:, None]
             row, col = np.nonzero(count >= need)
-            cosine = np.empty(len(row))
-            for b in range(0, len(row), 1 << 15):
-                s = slice(b, b + (1 << 15))
-                cosine[s] = np.einsum("ij,ij->i", part[open_[row[s]]], x[col[s]], dtype=np.float64)
+            cosine = _cosines(part[open_], x, row, col)
             ok = cosine >= least
-            row, col, cosine = row[ok], col[ok], cosine[ok]
+            row, cosine = row[ok], cosine[ok]
             # the query itself is among the vectors
             done = np.bincount(row[cosine >= SURE[level]], minlength=len(open_)) > k
             done |= last
-            take = done[row]
-            out[0].append(open_[row[take]] + a)
-            out[1].append(col[take])
-            out[2].append(cosine[take])
+            ends = np.flatnonzero(done)
+            if len(ends):
+                own = part[open_[ends]]
+                kth = _kth(row, cosine, len(open_), k, least)[ends].astype(np.float32)[:, None]
+                along = own @ c
+                off = np.sqrt(np.maximum(1 - along**2, 0))
+                must = (kth - SLACK - np.outer(along, along_x)) / np.maximum(np.outer(off, off_x), 1e-6)
+                possible = possible_from[level][np.floor(np.clip(must, -1, 0.95) * 100).astype(np.int16) + 100]
+                near = np.where(count[ends] >= np.minimum(possible, need), own @ x.T, -2)
+                best = np.partition(near, -min(k + 1, len(x)), axis=1)[:, -min(k + 1, len(x)), None]
+                row, col = np.nonzero(near >= np.maximum(best, least) - SLACK)
+                cosine = _cosines(own, x, row, col)
+                ok = cosine >= least
+                out[0].append(open_[ends[row[ok]]] + a)
+                out[1].append(col[ok])
+                out[2].append(cosine[ok])
             open_ = open_[~done]
     return tuple(np.concatenate(p) if p else np.zeros(0, np.int64) for p in out)
 
