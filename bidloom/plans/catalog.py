@@ -392,8 +392,10 @@ _M = _LSH + (
 )
 
 
-def _stage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _stage(spark: SparkSession, d: str, dimension: str | None = None) -> tuple[DataFrame, DataFrame]:
     paragraphs = _once(spark, d).withColumn("source", F.coalesce("source", F.lit("text")))
+    if dimension is not None:
+        paragraphs = materialise(sections.in_dimension(paragraphs, page_sections(spark, d), dimension))
     sketches = materialise(minhash_sketch(spark, d))
     pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").union(_lsh_all(sketches, paragraphs)).distinct()
     return matching.stage_one(pairs, paragraphs, sketches), paragraphs
@@ -413,8 +415,8 @@ def paragraph_jaccard(spark: SparkSession, d: str) -> DataFrame:
 _MM = _M + ", mm AS (SELECT *, round(jaccard, 4) AS similarity FROM j WHERE jaccard >= 0.4), dd AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY doc_a, doc_b, left(text_a, 200), left(text_b, 200) ORDER BY similarity DESC, index_a, index_b, para_a, para_b) = 1)"
 
 
-def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    stage, paragraphs = _stage(spark, d)
+def _matches(spark: SparkSession, d: str, dimension: str | None = None) -> tuple[DataFrame, DataFrame]:
+    stage, paragraphs = _stage(spark, d, dimension)
     rows = matching.verified(stage, paragraphs).filter("jaccard >= 0.4").withColumn("similarity", F.round("jaccard", 4))
     return matching.deduplicated(rows), paragraphs
 
@@ -721,3 +723,22 @@ def item_contact(spark: SparkSession, d: str) -> DataFrame:
 def item_text(spark: SparkSession, d: str) -> DataFrame:
     """Each company's verdict by text: FAILED if a pair of its document scores 0.3 or has a match left."""
     return items.text_verdicts(table(spark, d, "companies"), pair_text_score(spark, d), boilerplate_decay(spark, d))
+
+
+def _item_text(spark: SparkSession, d: str, dimension: str) -> DataFrame:
+    rows, paragraphs = _matches(spark, d, dimension)
+    rows = materialise(rows)
+    kept = matching.decayed(rows, matching.batch_templates(_once(spark, d), 0.02))
+    return items.text_verdicts(table(spark, d, "companies"), matching.scores(rows, paragraphs), kept)
+
+
+@query()
+def item_text_technical(spark: SparkSession, d: str) -> DataFrame:
+    """``item_text`` over the paragraphs on technical pages."""
+    return _item_text(spark, d, "technical")
+
+
+@query()
+def item_text_commercial(spark: SparkSession, d: str) -> DataFrame:
+    """``item_text`` over the paragraphs on commercial pages."""
+    return _item_text(spark, d, "commercial")

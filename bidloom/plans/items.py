@@ -14,8 +14,8 @@ ITEMS = {
     "DOC_AUTHOR_SIMILAR": "item_author",
     "SAME_BID_CONTACT_SIMILAR": "item_contact",
     "SAME_bidderName_SIMILAR": "bidder_cross_mentions",
-    "TECH_BID_SIMILAR": "item_text",
-    "Business_BID_SIMILAR": "item_text",
+    "TECH_BID_SIMILAR": "item_text_technical",
+    "Business_BID_SIMILAR": "item_text_commercial",
 }
 
 

@@ -1,4 +1,7 @@
-from bidloom.plans import catalog
+from datetime import datetime
+
+from bidloom.functions import fixed
+from bidloom.plans import catalog, items
 
 
 def candidates(spark, signatures):
@@ -25,3 +28,18 @@ def test_every_document_of_a_class_reaches_the_stage(spark, tmp_path):
     assert got == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert {tuple(r) for r in catalog.lsh_classes(spark, str(tmp_path)).collect()} == {(10, 1, 10), (20, 2, 10), (30, 3, 10), (40, 4, 40)}
     assert {tuple(r) for r in catalog.lsh_links(spark, str(tmp_path)).collect()} == {(10, 40)}
+
+
+def test_text_items_differ_by_dimension(spark, tmp_path):
+    shared = [f"passage{i}" for i in range(20)]
+    rows = []
+    for doc in (1, 2):
+        pages = {1: [fixed.TECHNICAL_TITLES[0]], 2: shared, 3: [fixed.COMMERCIAL_TITLES[0]], 4: [f"own{doc}x{i}" for i in range(20)]}
+        rows += [(10 * doc + page, doc, page, page, " ".join(w), w, "text") for page, w in pages.items()]
+    spark.createDataFrame(rows, "para_id long, doc_id long, para_index int, page_num int, text string, tokens array<string>, source string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    spark.createDataFrame([], "doc_a long, doc_b long, similarity double").write.parquet(f"{tmp_path}/image_matches.parquet")
+    companies = [(doc, 1, doc, f"firm {doc}", "u", datetime(2026, 1, 1)) for doc in (1, 2)]
+    spark.createDataFrame(companies, "company_record_id long, section_id long, doc_id long, bidder_name string, bid_file_url string, submitted_at timestamp").write.parquet(f"{tmp_path}/companies.parquet")
+    status = lambda item: {r["status"] for r in items.analyze(spark, str(tmp_path), item).collect()}
+    assert status("TECH_BID_SIMILAR") == {"FAILED"}
+    assert status("Business_BID_SIMILAR") == {"SUCCESS"}
