@@ -19,18 +19,20 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 class Transducer:
-    #: Kept moves; beyond this all are dropped and made anew when met.
-    MOVES = 1 << 20
+    #: Bytes that kept states and moves, and answers of fits(), may take each; beyond that all are dropped and made anew when met.
+    BYTES, ENTRY = 128 << 20, 260
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.begins = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
+        self.fitting: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.keys: dict[tuple, int] = {}
         self.states: list[tuple] = []
+        self.held = 0
         self.moves: dict[tuple[int, str], tuple[int, tuple[int, ...]]] = {}
         self.start = self._state((b"", ((-1, ()),)))
 
@@ -39,6 +41,7 @@ class Transducer:
         if got is None:
             got = self.keys[key] = len(self.states)
             self.states.append(key)
+            self.held += self.ENTRY + len(key[0]) + 130 * len(key[1])
         return got
 
     def merged(self, data: bytes) -> list[int]:
@@ -51,12 +54,19 @@ class Transducer:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
-    @lru_cache(1 << 20)  # noqa: B019
     def fits(self, before: int, token: int) -> bool:
         """Whether the two tokens stay as they are side by side; before -1 is the beginning."""
-        if before < 0:
-            return self.merged(self.bytes_of[token]) == [token]
-        return self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        key = (before + 1 << 32) + token
+        got = self.fitting.get(key)
+        if got is None:
+            if len(self.fitting) * 110 > self.BYTES:
+                self.fitting.clear()
+            if before < 0:
+                got = self.merged(self.bytes_of[token]) == [token]
+            else:
+                got = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            self.fitting[key] = got
+        return got
 
     def _byte(self, key: tuple, byte: bytes) -> tuple[tuple, tuple[int, ...]]:
         seen, prefixes = key
@@ -82,7 +92,7 @@ class Transducer:
         return (window, tuple((last, p[shared:]) for last, p in prefixes)), out
 
     def step(self, state: int, char: str) -> tuple[int, tuple[int, ...]]:
-        if len(self.moves) >= self.MOVES:
+        if self.held > self.BYTES:
             key = self.states[state]
             self._reset()
             state = self._state(key)
@@ -91,6 +101,7 @@ class Transducer:
             key, more = self._byte(key, bytes([b]))
             out += more
         got = self.moves[state, char] = (self._state(key), out)
+        self.held += self.ENTRY + 8 * len(out)
         return got
 
     def encode(self, piece: str) -> list[int]:
@@ -137,11 +148,11 @@ class Utf8Stream:
         return data.decode("utf-8", "replace")
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+def read_ranks(vocabulary: bytes) -> dict[bytes, int]:
+    """Token -> id of a vocabulary file's bytes."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
 
 
 @lru_cache(2)
-def load(path: str) -> Transducer:
-    return Transducer(read_ranks(path))
+def load(vocabulary: bytes) -> Transducer:
+    return Transducer(read_ranks(vocabulary))

@@ -2,9 +2,11 @@
 
 Texts are cut into pieces by the tokenizer's pattern, over all texts of a batch
 at once in numpy; each distinct piece of a batch goes through the transducer of
-bpe.py once, and its ids are copied to every place where it stands. One pass over
-the table, no shuffle; long texts are cut at the bounds of pieces, so memory is
-bounded by the batch. The vocabulary file's path is a parameter.
+bpe.py once, and its ids are copied to every place where it stands. Pieces are
+grouped by hash and then compared character by character with the first of their
+group, so two pieces of one hash are told apart. One pass over the table, no
+shuffle; texts are encoded in chunks of about CHUNK characters. The vocabulary
+file's path is a parameter; the driver reads it and ships its bytes with the job.
 """
 
 from __future__ import annotations
@@ -80,14 +82,28 @@ def piece_starts(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes lists of texts; keeps the ids of short pieces it has met."""
+    """Encodes lists of texts; keeps the ids of short pieces it has met, up to KEPT_BYTES."""
 
-    KEPT, SHORT = 1 << 18, 48
+    KEPT_BYTES, SHORT, ENTRY = 48 << 20, 48, 220
 
-    def __init__(self, path: str) -> None:
-        self.transducer = bpe.load(path)
+    def __init__(self, vocabulary: bytes) -> None:
+        self.transducer = bpe.load(vocabulary)
         self.powers = Powers()
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def _ids(self, piece: str) -> tuple[int, ...] | list[int]:
+        if len(piece) > self.SHORT:
+            return self.transducer.encode(piece)
+        got = self.known.get(piece)
+        if got is None:
+            got = tuple(self.transducer.encode(piece))
+            self.held += self.ENTRY + 4 * len(piece) + 8 * len(got)
+            if self.held > self.KEPT_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.known[piece] = got
+        return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
@@ -104,20 +120,17 @@ class Encoder:
         h ^= h >> np.uint64(31)
         h = h * np.uint64(0x94D049BB133111EB) + size.astype(np.uint64)
         _, first, place = np.unique(h, return_index=True, return_inverse=True)
-        whole = "".join(texts)
-        ids: list[tuple[int, ...]] = []
-        known, encode = self.known, self.transducer.encode
-        for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True):
-            piece = whole[a:b]
-            if b - a <= self.SHORT:
-                got = known.get(piece)
-                if got is None:
-                    if len(known) >= self.KEPT:
-                        known.clear()
-                    got = known[piece] = tuple(encode(piece))
-            else:
-                got = encode(piece)
-            ids.append(got)
+        # a piece that isn't the first of its hash character by character stands for itself
+        inner = np.arange(len(flat)) - np.repeat(begin, size)
+        head = np.repeat(begin[first[place]], size)
+        differs = flat != flat[np.minimum(head + inner, len(flat) - 1)]
+        differs = (np.add.reduceat(differs, begin) > 0) | (size != size[first[place]])
+        if differs.any():
+            own = np.flatnonzero(differs)
+            place[own] = len(first) + np.arange(len(own))
+            first = np.concatenate([first, own])
+        whole, of = "".join(texts), self._ids
+        ids = [of(whole[a:b]) for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         table = np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))
         starts = np.cumsum(counts) - counts
@@ -135,9 +148,15 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True)
 
 
-def _encode_rows(path: str):
+def _shipped(df: DataFrame, path: str):
+    """The vocabulary file's bytes, read by the driver, as a broadcast of a megabyte."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _encode_rows(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(vocabulary.value)
         for batch in batches:
             keys = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -149,9 +168,9 @@ def _encode_rows(path: str):
     return run
 
 
-def _count_rows(path: str):
+def _count_rows(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _encode_rows(path)(batches):
+        for batch in _encode_rows(vocabulary)(batches):
             offsets = batch.column(1).offsets.to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64))], names=["doc_id", "n_tokens"])
 
@@ -163,17 +182,17 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     Null and empty texts have no ids: an empty list. One row for each row given.
     """
-    return documents.select("doc_id", "text").mapInArrow(_encode_rows(path), "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(_encode_rows(_shipped(documents, path)), "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of each document."""
-    return documents.select("doc_id", "text").mapInArrow(_count_rows(path), "doc_id long, n_tokens long")
+    return documents.select("doc_id", "text").mapInArrow(_count_rows(_shipped(documents, path)), "doc_id long, n_tokens long")
 
 
-def _decode_rows(path: str):
+def _decode_rows(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b for b, _ in sorted(bpe.read_ranks(path).items(), key=lambda x: x[1])]
+        table = [b for b, _ in sorted(bpe.read_ranks(vocabulary.value).items(), key=lambda x: x[1])]
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():
@@ -188,4 +207,4 @@ def _decode_rows(path: str):
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
-    return tokens.select("doc_id", "ids").mapInArrow(_decode_rows(path), "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(_decode_rows(_shipped(tokens, path)), "doc_id long, text string")

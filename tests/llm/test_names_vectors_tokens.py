@@ -79,6 +79,17 @@ def test_ids_equal_the_public_library_s(spark):
     assert back == {k: t or "" for k, t in enumerate(texts)}
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_pieces_of_one_hash_are_told_apart(spark):
+    # these pairs collide in every polynomial hash modulo 2**64
+    texts = [thue_morse(n, *p) for n in (1024, 2048, 4096) for p in ("ab", "ba")] * 2
+    got = [list(r["ids"]) for r in tokenize.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+
+
 def test_transducer_equals_merging():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"cc": 259, b"abab": 260}
     t = bpe.Transducer(ranks)
