@@ -51,58 +51,55 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(
-    features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_features: int, n_states: int, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-4
+    features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_features: int, n_states: int, rounds: int = 6, rate: float = 0.3, ridge: float = 1e-5, batch: int = 64
 ) -> Crf:
-    """Fits on padded sequences; labels beyond a row's length are ignored. Deterministic."""
+    """Fits on padded sequences; labels beyond a row's length are ignored.
+
+    Adaptive gradient steps on batches of sequences of like length, in an order
+    drawn once; deterministic. ``rounds`` are passes over all sequences.
+    """
     slots = features.shape[2]
     crf = Crf(np.zeros((n_features, n_states)), np.zeros((n_states, n_states)), np.zeros(n_states))
-    first, second = [[np.zeros_like(p) for p in (crf.emit, crf.move, crf.start)] for _ in range(2)]
-    # sequences of like length are worked on together
-    parts = []
-    for own in np.array_split(np.argsort(lengths, kind="stable"), min(10, len(lengths))):
-        size = lengths[own]
-        steps = int(size.max())
-        live = np.arange(steps)[None] < size[:, None]
-        parts.append((size, live, features[own, :steps][live], np.where(live, labels[own, :steps], 0)))
-    total = float(lengths.sum())
-    flat = np.concatenate([p[2] for p in parts])
-    seen_move, seen_start = np.zeros((n_states, n_states)), np.zeros(n_states)
-    for _, live, _, gold in parts:
-        pairs = live[:, 1:]
-        np.add.at(seen_move, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
-        seen_start += np.bincount(gold[:, 0], minlength=n_states)
-    for k in range(1, rounds + 1):
-        move, start, deltas = np.zeros_like(seen_move), np.zeros(n_states), []
-        for size, live, own, gold in parts:
-            rows, steps = live.shape
-            s = np.zeros((rows, steps, n_states))
-            s[live] = crf.scores(own)
+    squares = [np.full_like(p, 1e-6) for p in (crf.emit, crf.move, crf.start)]
+    order = np.argsort(lengths, kind="stable")
+    parts = np.array_split(order, max(1, len(order) // batch))
+    rng, one = np.random.default_rng(13), np.eye(n_states)
+
+    def step(p: np.ndarray, sq: np.ndarray, g: np.ndarray, at=slice(None)) -> None:
+        sq[at] += g * g
+        p[at] += rate * g / np.sqrt(sq[at])
+
+    for _ in range(rounds):
+        for k in rng.permutation(len(parts)):
+            own = parts[k]
+            size = lengths[own]
+            steps = int(size.max())
+            live = np.arange(steps)[None] < size[:, None]
+            ids, gold = features[own, :steps], np.where(live, labels[own, :steps], 0)
+            s = np.where(live[..., None], crf.scores(ids), 0)
             fwd, bwd = np.empty_like(s), np.zeros_like(s)
             fwd[:, 0] = s[:, 0] + crf.start
             for t in range(1, steps):
                 fwd[:, t] = np.where(live[:, t, None], _lse(fwd[:, t - 1][:, :, None] + crf.move[None], 1) + s[:, t], fwd[:, t - 1])
             for t in range(steps - 2, -1, -1):
                 bwd[:, t] = np.where(live[:, t + 1, None], _lse(crf.move[None] + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-            z = _lse(fwd[np.arange(rows), size - 1], 1)
+            z = _lse(fwd[np.arange(len(own)), size - 1], 1)
             prob = np.exp(fwd + bwd - z[:, None, None]) * live[..., None]
-            for t in range(steps - 1):
-                on = live[:, t + 1]
-                move += np.exp(fwd[on, t][:, :, None] + crf.move[None] + (s[on, t + 1] + bwd[on, t + 1])[:, None, :] - z[on, None, None]).sum(0)
-            start += prob[:, 0].sum(0)
-            deltas.append((np.eye(n_states)[gold] - prob)[live])
-        delta = np.concatenate(deltas)
-        emit = np.zeros_like(crf.emit)
-        for c in range(n_states):
-            weight = np.ascontiguousarray(delta[:, c])
-            for j in range(slots):
-                emit[:, c] += np.bincount(flat[:, j], weight, n_features)
-        emit[0] = 0
-        grads = (emit / total - ridge * crf.emit, (seen_move - move) / total - ridge * crf.move, (seen_start - start) / total)
-        for p, g, m, v in zip((crf.emit, crf.move, crf.start), grads, first, second, strict=True):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
-            p += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        crf.emit[0] = 0
+            move = np.zeros((n_states, n_states))
+            on = live[:, 1:]
+            if on.any():
+                pair = fwd[:, :-1][on][:, :, None] + crf.move[None] + (s[:, 1:] + bwd[:, 1:])[on][:, None, :] - z[np.nonzero(on)[0], None, None]
+                move -= np.exp(pair).sum(0)
+                np.add.at(move, (gold[:, :-1][on], gold[:, 1:][on]), 1)
+            delta = ((one[gold] - prob) * live[..., None])[live]
+            flat = ids[live].ravel()
+            sort = np.argsort(flat, kind="stable")
+            heads = np.flatnonzero(np.diff(flat[sort], prepend=-1))
+            grads = np.add.reduceat(delta[sort // slots], heads)
+            at = flat[sort][heads]
+            keep = at > 0
+            at, grads = at[keep], grads[keep]
+            step(crf.emit, squares[0], grads - ridge * len(own) * crf.emit[at], at)
+            step(crf.move, squares[1], move - ridge * len(own) * crf.move)
+            step(crf.start, squares[2], (one[gold[:, 0]] - prob[:, 0]).sum(0) - ridge * len(own) * crf.start)
     return crf

@@ -74,6 +74,14 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(table(spark, d, "documents"))
 
 
+ORACLE["p10_found"] = r"""
+WITH l AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), '[^\p{L}]+', '', 'g') AS x FROM documents),
+w AS (SELECT doc_id, length(x) AS n, i, substr(x, i, 40) AS s FROM (SELECT doc_id, x, unnest(range(1, length(x) - 38)) AS i FROM l WHERE length(x) > 40)),
+r AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, min(i) OVER (PARTITION BY doc_id, s) AS first FROM w) WHERE i > first),
+c AS (SELECT doc_id, n, least(40, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 40)) AS k FROM r)
+SELECT doc_id FROM c GROUP BY doc_id HAVING sum(k) >= 0.3 * any_value(n)"""
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return term_weights.found(table(spark, d, "image_matches"), table(spark, d, "paragraphs"))

@@ -101,11 +101,15 @@ def test_repetition_equals_brute_force(spark):
     for k in range(60):
         own = [line() for _ in range(rng.randint(1, 12))]
         texts.append("\n".join(own + [rng.choice(own) for _ in range(rng.choice([0, 0, 1, len(own), 3 * len(own)]))]))
+    phrase = line()[:64]
+    texts += [" ".join(f"{line()[:90]} {phrase}" for _ in range(30)), "\n".join(f"{phrase} {line()[:70]}" for _ in range(9))]
     texts += [None, "", "   ", "1234 5678", "a" * 400, "短文本" * 100, line() * 3000]
     d = docs(spark, [(k, None, t, None, None) for k, t in enumerate(texts)])
     got = {r["doc_id"] for r in repetition.found(d).collect()}
     assert got == {k for k, t in enumerate(texts) if brute_repetition(t) >= 0.3}
-    assert repetition.shares(d).filter(F.col("letters") == 0).count() == 4
+    shares = repetition.shares(d).collect()
+    assert sum(r["letters"] == 0 for r in shares) == 4
+    assert all(abs(r["repeated_share"] - brute_repetition(texts[r["doc_id"]])) < 1e-9 for r in shares)
     assert repetition.found(d.limit(0)).count() == 0
 
 
