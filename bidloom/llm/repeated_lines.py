@@ -5,11 +5,17 @@ sorted (a range-partitioned suffix array), neighbouring suffixes give common
 prefixes, and every common prefix is a repeated block of one or more lines. The
 blocks that span enough documents of the source are deleted.
 
-Scale: a suffix whose first line is in too few documents can't begin a block
-that spans enough of them, so the array holds only the other suffixes; a suffix
-ends at the document's next such line. The sort key ends in the document, so a
-line that a third of the rows carry still spreads over many tasks. Documents of
-a block are counted by a distinct and a partial aggregation, never by one task.
+Suffixes are compared over DEPTH lines first; those that still tie with enough
+others at that depth are sorted again over twice as many, until none is left, so
+a block is found whole whatever its length.
+
+Scale: a suffix whose first line is in fewer than the least number of documents
+can't begin a block, so the array holds only the other suffixes; whether a block
+is in the required share of its source's documents is counted on the blocks. The
+sort key ends in the document, so a line that a third of the rows carry still
+spreads over many tasks. Documents of a block are counted by a distinct and a
+partial aggregation, and joins with hot lines or blocks are salted, or broadcast
+after their rows were counted. The array is written once for each depth.
 """
 
 from __future__ import annotations
@@ -21,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines of a suffix that are compared. A longer block appears as overlapping blocks of this length, so no line is lost.
+from bidloom.operators.skew import counted_join, spread_join
+from bidloom.session import materialise
+
+#: Lines of a suffix that are compared first.
 DEPTH = 8
 MIN_DOCS = 3
 MIN_SHARE = 0.2
@@ -52,70 +61,65 @@ def document_sources(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).dropDuplicates(["doc_id"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted stretch of the suffix array: each suffix with each prefix it shares with a neighbour.
+def _prefixes(depth: int, known: int):
+    """Of a sorted stretch of the suffix array: each suffix with each prefix of more than ``known`` lines it shares with a neighbour.
 
     At the ends of a partition the neighbour isn't seen, so all prefixes of that
     suffix are given; counting the documents of each block decides in the end.
     """
-    held: dict | None = None
 
     def emit(rows: dict, lcp: np.ndarray) -> pa.RecordBatch:
-        start = np.repeat(np.arange(len(lcp)), lcp)
-        size = np.arange(lcp.sum()) - np.repeat(np.cumsum(lcp) - lcp, lcp) + 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.asarray(rows["source"], dtype=object)[start], pa.string()),
-                pa.array(rows["doc_id"][start], pa.int64()),
-                pa.array(rows["para_id"][start], pa.int64()),
-                pa.array(rows["line_no"][start], pa.int32()),
-                pa.array(size, pa.int32()),
-                pa.array(rows["hashes"][start, size - 1], pa.int64()),
-            ],
-            names=["source", "doc_id", "para_id", "line_no", "size", "block"],
-        )
+        more = np.maximum(lcp - known, 0)
+        start = np.repeat(np.arange(len(more)), more)
+        size = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1 + known
+        at = pa.array(start)
+        columns = {n: rows["batch"].column(n).take(at) for n in ("source", "doc_id", "para_id", "line_no", "pos")}
+        columns |= {"size": pa.array(size, pa.int32()), "block": pa.array(rows["hashes"][start, size - 1], pa.int64())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def common(a: dict, i: int, b: dict, j: int) -> int:
         if a["source"][i] != b["source"][j]:
             return 0
         return int(np.argmin(np.append((a["lines"][i] == b["lines"][j]) & (a["lines"][i] != 0), False)))
 
-    before = None  # common prefix of the held batch's last suffix with the next batch's first
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = _matrix(batch)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+        before = None  # common prefix of the held batch's last suffix with the next batch's first
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(batch, depth)
+            if held is not None:
+                after = common(held, held["n"] - 1, rows, 0)
+                yield emit(held, _lcps(held, before, after))
+                before = after
+            held = rows
         if held is not None:
-            after = common(held, held["n"] - 1, rows, 0)
-            yield emit(held, _lcps(held, before, after))
-            before = after
-        held = rows
-    if held is not None:
-        yield emit(held, _lcps(held, before, None))
+            yield emit(held, _lcps(held, before, None))
+
+    return run
 
 
-def _matrix(batch: pa.RecordBatch) -> dict:
+def _matrix(batch: pa.RecordBatch, depth: int) -> dict:
     suffix = batch.column("suffix")
     n = batch.num_rows
     offsets = suffix.offsets.to_numpy()
     flat = suffix.values.to_numpy(zero_copy_only=False)
-    lines = np.zeros((n, DEPTH), np.int64)
+    lines = np.zeros((n, depth), np.int64)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(n), sizes)
     lines[row, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat[offsets[0] : offsets[-1]]
-    hashes = np.zeros((n, DEPTH), np.int64)
+    hashes = np.zeros((n, depth), np.int64)
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.int64)
-        for k in range(DEPTH):
+        for k in range(depth):
             h = (h ^ lines[:, k]) * np.int64(-7046029254386353131) + np.int64(k + 1)
             h ^= (h >> np.int64(29)) & np.int64((1 << 35) - 1)
             hashes[:, k] = h
     return {
         "n": n,
+        "batch": batch,
         "source": batch.column("source").to_pylist(),
-        "doc_id": batch.column("doc_id").to_numpy(),
-        "para_id": batch.column("para_id").to_numpy(),
-        "line_no": batch.column("line_no").to_numpy(),
         "lines": lines,
         "sizes": sizes,
         "hashes": hashes,
@@ -132,36 +136,48 @@ def _lcps(rows: dict, before: int | None, after: int | None) -> np.ndarray:
     return np.minimum(np.maximum(left, right), sizes).astype(np.int64) if n else left
 
 
-def repeated_blocks(
-    paragraphs: DataFrame, documents: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE
-) -> DataFrame:
-    """(source, para_id, line_no, size, docs): each line that begins a block of ``size`` lines found in ``docs`` documents of its source.
+def _frequent(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Lines found in ``min_docs`` documents of their source, with their place in the document and the run of such lines they are in.
+
+    A line of a repeated row is the same line again and counts once.
+    """
+    first = lines.select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    marked = spread_join(lines, first.select("source", "line", F.lit(True).alias("often")), ["source", "line"], ["doc_id", "para_id", "line_no"], "left")
+    order = Window.partitionBy("doc_id").orderBy("para_index", "para_id", "line_no")
+    again = F.lag("para_id").over(order).eqNullSafe(F.col("para_id")) & F.lag("line_no").over(order).eqNullSafe(F.col("line_no"))
+    placed = marked.withColumn("again", again).filter("not again").withColumn("pos", F.row_number().over(order)).filter("often")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    return placed.select("source", "doc_id", "para_id", "line_no", "line", "pos", run.alias("run"))
+
+
+def repeated_blocks(paragraphs: DataFrame, documents: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(source, block, para_id, line_no, size, docs): each line that begins a block of ``size`` lines found in ``docs`` documents of its source.
 
     A block counts if it is in at least ``min_docs`` documents and in at least
     ``min_share`` of the source's documents with paragraphs. A line has a row for
     every size of block that begins at it. Repeated rows count once.
     """
-    lines = source_lines(paragraphs, documents)
-    total = (
-        paragraphs.select("doc_id").distinct().join(document_sources(documents), "doc_id").groupBy("source").agg(F.count("*").alias("total"))
-    )
-    need = total.select("source", F.greatest(F.lit(min_docs).cast("double"), F.ceil(F.col("total") * min_share - 1e-9).cast("double")).alias("need"))
-    first = lines.select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("docs"))
-    first = first.join(need, "source").filter(F.col("docs") >= F.col("need")).select("source", "line", "need")
-
-    order = Window.partitionBy("doc_id").orderBy("para_index", "para_id", "line_no")
-    placed = lines.dropDuplicates(["para_id", "line_no"]).withColumn("pos", F.row_number().over(order))
-    frequent = placed.join(first.select("source", "line"), ["source", "line"])
-    run = Window.partitionBy("doc_id").orderBy("pos")
-    frequent = frequent.withColumn("run", F.col("pos") - F.row_number().over(run))
-    ahead = Window.partitionBy("doc_id", "run").orderBy("pos").rowsBetween(0, DEPTH - 1)
-    suffixes = frequent.select("source", "doc_id", "para_id", "line_no", F.collect_list("line").over(ahead).alias("suffix"))
-
-    array = suffixes.repartitionByRange("source", "suffix", "doc_id", "para_id").sortWithinPartitions("source", "suffix", "doc_id", "para_id", "line_no")
-    prefixes = array.mapInArrow(_prefixes, "source string, doc_id long, para_id long, line_no int, size int, block long")
-    blocks = prefixes.select("source", "size", "block", "doc_id").distinct().groupBy("source", "size", "block").agg(F.count("*").alias("docs"))
-    blocks = blocks.join(need, "source").filter(F.col("docs") >= F.col("need")).drop("need")
-    return prefixes.join(blocks, ["source", "size", "block"]).select("source", "para_id", "line_no", "size", "docs")
+    total = paragraphs.select("doc_id").distinct().join(document_sources(documents), "doc_id").groupBy("source").agg(F.count("*").alias("total"))
+    need = materialise(total.select("source", F.greatest(F.lit(min_docs).cast("double"), F.ceil(F.col("total") * min_share - 1e-9).cast("double")).alias("need")))
+    frequent = materialise(_frequent(source_lines(paragraphs, documents), min_docs))
+    begins, known, depth, out = None, 0, DEPTH, None
+    while True:
+        ahead = Window.partitionBy("doc_id", "run").orderBy("pos").rowsBetween(0, depth - 1)
+        suffixes = frequent.select("source", "doc_id", "para_id", "line_no", "pos", F.collect_list("line").over(ahead).alias("suffix"))
+        if begins is not None:
+            suffixes = suffixes.join(begins, ["doc_id", "pos"], "left_semi")
+        key = ["source", "suffix", "doc_id", "pos"]
+        array = suffixes.repartitionByRange(*key).sortWithinPartitions(*key)
+        prefixes = materialise(array.mapInArrow(_prefixes(depth, known), "source string, doc_id long, para_id long, line_no int, pos int, size int, block long"))
+        blocks = prefixes.select("source", "size", "block", "doc_id").distinct().groupBy("source", "size", "block").agg(F.count("*").alias("docs"))
+        blocks = materialise(blocks.join(need, "source").filter(F.col("docs") >= F.col("need")).drop("need"))
+        here = counted_join(prefixes, blocks, ["source", "size", "block"], ["para_id", "line_no"])
+        now = here.select("source", "block", "para_id", "line_no", "size", "docs")
+        out = now if out is None else out.union(now)
+        if not blocks.filter(F.col("size") == depth).head(1):
+            return out
+        begins = materialise(here.filter(F.col("size") == depth).select("doc_id", "pos").distinct())
+        known, depth = depth, 2 * depth
 
 
 def found(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -174,12 +190,9 @@ def found(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def blocks_report(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(source, size, blocks, docs_max): how many distinct beginnings of blocks of each size each source has."""
-    return (
-        repeated_blocks(paragraphs, documents)
-        .groupBy("source", "size")
-        .agg(F.count("*").alias("lines"), F.max("docs").alias("docs_max"))
-    )
+    """(source, size, blocks, docs_max): how many different blocks of each number of lines each source has, and the most documents one is in."""
+    each = repeated_blocks(paragraphs, documents).groupBy("source", "size", "block").agg(F.max("docs").alias("docs"))
+    return each.groupBy("source", "size").agg(F.count("*").alias("blocks"), F.max("docs").alias("docs_max"))
 
 
 def cleaned(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
