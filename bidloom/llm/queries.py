@@ -45,6 +45,17 @@ f AS (SELECT source, k, count(DISTINCT doc_id) AS docs FROM k WHERE k <> '' GROU
 b AS (SELECT source, k FROM f JOIN n USING (source) WHERE docs >= 3 AND docs >= 0.2 * n)
 """
 ORACLE["p1_found"] = _P1 + "SELECT DISTINCT para_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN b USING (source, k)"
+ORACLE["p1_blocks"] = (
+    _P1
+    + """, i AS (SELECT para_id, any_value(para_index) AS para_index FROM paragraphs GROUP BY para_id),
+o AS (SELECT DISTINCT k.source, k.doc_id, k.para_id, k.line_no, k.k, i.para_index FROM k JOIN i USING (para_id) WHERE k.k <> ''),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_index NULLS FIRST, para_id, line_no) AS pos FROM o),
+v AS (SELECT q.*, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM q JOIN b USING (source, k)),
+r AS (SELECT source, doc_id, list(k ORDER BY pos) AS ks FROM v GROUP BY source, doc_id, run),
+a AS (SELECT source, doc_id, ks, unnest(range(1, len(ks) + 1)) AS i FROM r), e AS (SELECT source, doc_id, ks, i, unnest(range(i, len(ks) + 1)) AS j FROM a),
+g AS (SELECT source, j - i + 1 AS size, array_to_string(ks[i:j], chr(10)) AS block, count(DISTINCT doc_id) AS docs FROM e GROUP BY 1, 2, 3)
+SELECT source, CAST(size AS INTEGER) AS size, count(*) AS blocks, max(docs) AS docs_max FROM g JOIN n USING (source) WHERE docs >= 3 AND docs >= 0.2 * n GROUP BY 1, 2"""
+)
 ORACLE["p1_cleaned"] = (
     _P1
     + """, g AS (SELECT k.para_id, list(DISTINCT line_no) AS gone FROM k JOIN b USING (source, k) GROUP BY k.para_id),
@@ -64,6 +75,24 @@ def p3_shared_parts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_parts(table(spark, d, "paragraphs"), table(spark, d, "documents"))
 
 
+_P3 = """
+WITH p AS (SELECT DISTINCT para_id, doc_id, text FROM paragraphs WHERE length(text) >= 200),
+w AS (SELECT para_id, doc_id, i, substr(text, i, 200) AS s FROM (SELECT para_id, doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM p)),
+t AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)), v AS (SELECT w.* FROM w JOIN t USING (s))
+"""
+ORACLE["p3_found"] = _P3 + "SELECT DISTINCT a.para_id AS para_a, b.para_id AS para_b FROM v a JOIN v b USING (s) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id"
+ORACLE["p3_shared_parts"] = (
+    _P3.replace("WITH p", "WITH RECURSIVE p")
+    + """, l(n, para_id, doc_id, i, s) AS (SELECT CAST(200 AS BIGINT), para_id, doc_id, i, s FROM v UNION ALL SELECT 2 * n, para_id, doc_id, i, s FROM (
+  SELECT n, para_id, doc_id, i, s, min(doc_id) OVER (PARTITION BY s) AS lo, max(doc_id) OVER (PARTITION BY s) AS hi FROM (SELECT a.n, a.para_id, a.doc_id, a.i, a.s || b.s AS s FROM l a JOIN l b ON a.para_id = b.para_id AND b.i = a.i + a.n)) WHERE lo < hi),
+m AS (SELECT doc_id, max(n) AS longest FROM l GROUP BY doc_id),
+c AS (SELECT doc_id, coalesce(least(200, i - lag(i) OVER (PARTITION BY para_id ORDER BY i)), 200) AS k FROM v), k AS (SELECT doc_id, sum(k) AS shared_chars FROM c GROUP BY doc_id),
+o AS (SELECT doc_id, sum(length(text)) AS own FROM (SELECT DISTINCT para_id, doc_id, text FROM paragraphs) GROUP BY doc_id), t2 AS (SELECT doc_id, any_value(total_text_length) AS n FROM documents GROUP BY doc_id)
+SELECT doc_id, CAST(shared_chars AS BIGINT) AS shared_chars, CAST(longest AS INTEGER) AS longest, CAST(CASE WHEN t2.n > 0 THEN t2.n ELSE own END AS BIGINT) AS total_chars,
+round(least(1.0::DOUBLE, shared_chars / CASE WHEN t2.n > 0 THEN t2.n ELSE own END), 6) AS share FROM k JOIN o USING (doc_id) LEFT JOIN t2 USING (doc_id) JOIN m USING (doc_id)"""
+)
+
+
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.found(table(spark, d, "documents"))

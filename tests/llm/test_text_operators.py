@@ -32,6 +32,15 @@ def test_repeated_lines_and_blocks(spark):
     assert repeated_lines.found(p.limit(0), d).count() == 0
 
 
+def test_blocks_longer_than_the_first_depth_are_found_whole(spark):
+    block = [f"notice {chr(97 + k)} of the portal" for k in range(21)]
+    rows = [(k, k, "\n".join([f"own {chr(97 + k)} line", *block[: 21 if k < 4 else 13]]), 0) for k in range(7)]
+    d = docs(spark, [(k, "x", None, None, None) for k in range(7)])
+    p = spark.createDataFrame([(a, b, i, t, None) for a, b, t, i in rows], "para_id long, doc_id long, para_index int, text string, tokens array<string>")
+    got = {(r["size"], r["blocks"], r["docs_max"]) for r in repeated_lines.blocks_report(p, d).collect()}
+    assert got == {(n, 22 - n, 7 if n <= 13 else 4) for n in range(1, 22)}
+
+
 def test_repeated_lines_need_a_fifth_of_the_source(spark):
     rows = [(d, d, "the same line" if d <= 3 else f"line {chr(96 + d)}", []) for d in range(1, 17)]
     d = docs(spark, [(i, "s", None, None, None) for i in range(1, 17)])
