@@ -26,3 +26,17 @@ def counted_join(big: DataFrame, small: DataFrame, keys: list[str], row: list[st
     if small.limit(SMALL + 1).count() <= SMALL:
         return big.join(F.broadcast(small), keys, how)
     return spread_join(big, small, keys, row, how)
+
+
+def grouped_pairs(rows: DataFrame, keys: list[str], item: str, most: int = 400) -> DataFrame:
+    """(*keys, a, b), a < b: the pairs of distinct items of each group, for results that are pairs by definition.
+
+    ``rows`` should be written: it is read twice. Groups of one item go first. A
+    group of more than ``most`` items is cut into parts: each item meets the group
+    in the task of its own part, so no task holds all pairs of a group.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    sized = rows.join(sizes, keys).withColumn("_parts", F.ceil(F.col("_n") / most).cast("int"))
+    left = sized.select(*keys, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("_parts")).cast("int").alias("_part"))
+    right = sized.select(*keys, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return left.join(right, [*keys, "_part"]).filter("a < b").select(*keys, "a", "b")
