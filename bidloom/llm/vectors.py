@@ -4,20 +4,27 @@ Vectors are first put into coarse cells (nearest of centroids fitted on a
 bounded sample; a vector near a border goes into every cell within MARGIN, so
 that near vectors meet). In a cell, the vectors' differences from the centroid
 are projected on single random directions, and each direction keeps a sorted
-array. A query's window in each array is centred on the query and is expanded
-level by level by virtual rehashing (a level joins twice as many of the basic
-buckets); vectors that fall into the query's windows at least as often as the
-level's threshold are verified by their cosine. A query stops when it has k
+array of basic buckets. A query's window in each array is centred on the query
+and is expanded level by level by virtual rehashing (a level joins twice as many
+basic buckets); vectors that fall into the query's windows at least as often as
+the level's threshold are verified by their cosine. A query stops when it has k
 verified neighbours that are nearer than the next level could add. Then its k-th
-cosine (or the least one asked for) says for each unseen vector how near the
+cosine (or the least one asked for) says for unseen vectors how near the
 differences from the centroid would have to be, and with it how many collisions a
 nearer vector has at least; those that have them are verified too. In a tight
 group, where differences say little, that is up to every vector of the cell.
 
+A sorted array is kept as one bit a vector for each bucket bound, so a window is
+the difference of two bit rows, and the collisions of 64 vectors with a query are
+counted together by adders over the bits of the counts. Only vectors over the
+threshold are ever met one by one.
+
 Scale: a cell is cut into chunks, and a task gets one chunk of queries and one of
 vectors, so a cell with a third of all vectors is many tasks of bounded size. The
 centroids' number is fixed, so what is sent to every task is bounded. Every vector
-is indexed; recall against brute force is measured in the tests.
+is indexed; recall against brute force is measured in the tests. With a fixed
+number of cells the counting grows with the square of a cell's vectors: about
+ten operations for a pair in a cell, a fortieth of what its cosine costs.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidloom.llm.sampling import sampled
 from bidloom.session import materialise
 
 DIMENSION, K, MIN_COSINE = 384, 10, 0.80
@@ -41,15 +49,17 @@ LEVELS = (0.5, 1.0)
 #: A level's windows miss hardly any vector nearer than this cosine; a query with k of them needs no further level.
 SURE = (0.93, -1.0)
 #: Collisions of DIRECTIONS that make a candidate, by level.
-FOUND_COLLISIONS = (50, 59)
+FOUND_COLLISIONS = (50, 62)
 TOP_COLLISIONS = (30, 38)
 #: Standard deviations below the expected collisions of a vector at the k-th cosine that still count as possible.
 DEVIATIONS = 3
 #: Bound of the error of a cosine in single precision.
 SLACK = 1e-5
-QUERIES, VECTORS, AT_ONCE = 4096, 16384, 256
-#: Projections are rounded to basic buckets of this width.
-BUCKET = 1 / 32
+QUERIES, VECTORS, AT_ONCE = 8192, 16384, 64
+#: Projections are rounded to basic buckets of this width, GRID of them around 0; what lies beyond is put into the outermost.
+BUCKET, GRID = 1 / 16, 128
+#: Vectors of one stretch of the cosine with the centroid share a threshold.
+STRETCHES = 16
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +137,17 @@ def _least_collisions(half: float) -> np.ndarray:
     return np.floor(DIRECTIONS * p - DEVIATIONS * np.sqrt(DIRECTIONS * p * (1 - p)))
 
 
-def _cosines(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+def _verified(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs with a cosine of at least ``least``, with it. Many pairs of few rows are first compared in single precision by one product of matrices."""
+    if len(row) * 64 > len(q) * len(x):
+        near = (q @ x.T)[row, col] >= least - SLACK
+        row, col = row[near], col[near]
     cosine = np.empty(len(row))
-    for b in range(0, len(row), 1 << 15):
-        s = slice(b, b + (1 << 15))
+    for b in range(0, len(row), 1 << 14):
+        s = slice(b, b + (1 << 14))
         cosine[s] = np.einsum("ij,ij->i", q[row[s]], x[col[s]], dtype=np.float64)
-    return cosine
+    ok = cosine >= least
+    return row[ok], col[ok], cosine[ok]
 
 
 def _kth(row: np.ndarray, cosine: np.ndarray, rows: int, k: int, least: float) -> np.ndarray:
@@ -145,60 +160,125 @@ def _kth(row: np.ndarray, cosine: np.ndarray, rows: int, k: int, least: float) -
     return kth
 
 
+class _Counted:
+    """Collisions of queries with all vectors, as bit planes of the counts."""
+
+    def __init__(self, bits: np.ndarray, buckets: np.ndarray, wide: int) -> None:
+        lo, hi = np.clip(buckets - wide, 0, GRID), np.clip(buckets + wide + 1, 0, GRID)
+        waiting: list[list[np.ndarray]] = [[] for _ in range(9)]
+
+        def put(x: np.ndarray, weight: int) -> None:
+            own = waiting[weight]
+            own.append(x)
+            if len(own) == 3:
+                a, b, c = own
+                half = a ^ b
+                waiting[weight] = [half ^ c]
+                put((a & b) | (half & c), weight + 1)
+
+        for j in range(bits.shape[0]):
+            put(bits[j, hi[:, j]] ^ bits[j, lo[:, j]], 0)
+        self.planes = []
+        for weight in range(8):
+            own = waiting[weight]
+            if len(own) == 2:
+                a, b = own
+                waiting[weight + 1].append(a & b)
+                own = [a ^ b]
+                if len(waiting[weight + 1]) == 3:
+                    x, y, z = waiting[weight + 1]
+                    waiting[weight + 1] = [x ^ y ^ z]
+                    waiting[weight + 2].append((x & y) | ((x ^ y) & z))
+            self.planes.append(own[0] if own else None)
+
+    def at_least(self, least: np.ndarray) -> np.ndarray:
+        """Bits of the vectors with at least ``least`` collisions; ``least`` is (queries, 1) or (queries, words)."""
+        more, same = np.uint64(0), ~np.uint64(0)
+        for weight in range(7, -1, -1):
+            want = np.where(least >> weight & 1, ~np.uint64(0), np.uint64(0))
+            plane = self.planes[weight]
+            if plane is None:
+                plane = np.uint64(0)
+            more = more | (same & plane & ~want)
+            same = same & ~(plane ^ want)
+        return more | same
+
+
+def _pairs_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the set bits."""
+    at = np.flatnonzero(words.ravel())
+    bits = np.unpackbits(words.ravel()[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    which, bit = np.nonzero(bits)
+    return at[which] // words.shape[1], at[which] % words.shape[1] * 64 + bit
+
+
 def collide(q: np.ndarray, x: np.ndarray, c: np.ndarray, directions: np.ndarray, collisions: tuple[int, ...], k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, cosine) of verified candidates, up to k of each query with a cosine of at least ``least``."""
+    """(row of q, row of x, cosine) of verified candidates, the best k + 1 or more of each query with a cosine of at least ``least``."""
 
     def project(v: np.ndarray) -> np.ndarray:
         r = v - np.outer(v @ c, c)
         r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-9)
-        return np.rint(r @ directions / BUCKET).astype(np.int32)
-
-    zx, out = project(x), ([], [], [])
-    along_x = x @ c
-    off_x = np.sqrt(np.maximum(1 - along_x**2, 0))
-    order = np.argsort(zx, axis=0, kind="stable")
-    arrays = np.take_along_axis(zx, order, 0)
-    rank = np.empty((zx.shape[1], len(x)), np.uint16)
+        return np.clip(np.floor(r @ directions / BUCKET).astype(np.int32) + GRID // 2, 0, GRID - 1)
+
+    order = np.argsort(x @ c, kind="stable")
+    x = x[order]
+    n, words = len(x), -(-len(x) // 64)
+    along = x @ c
+    zx = project(x)
+    bits = np.zeros((zx.shape[1], GRID + 1, words * 8), np.uint8)
     for j in range(zx.shape[1]):
-        rank[j, order[:, j]] = np.arange(len(x))
+        below = zx[:, j][None] < np.arange(GRID + 1)[:, None]
+        bits[j, :, : -(-n // 8)] = np.packbits(below, axis=1, bitorder="little")
+    bits = bits.view(np.uint64)
+    # stretches of whole words, with the bounds of the cosine to the centroid in them
+    cuts = np.unique(np.linspace(0, words, min(STRETCHES, words) + 1).astype(int))
+    low, high = along[np.minimum(cuts[:-1] * 64, n - 1)], along[np.minimum(cuts[1:] * 64, n) - 1]
     possible_from = [_least_collisions(half) for half in LEVELS]
+    out: tuple[list, list, list] = ([], [], [])
+
+    def keep(rows: np.ndarray, row: np.ndarray, col: np.ndarray, cosine: np.ndarray) -> None:
+        out[0].append(rows[row])
+        out[1].append(order[col])
+        out[2].append(cosine)
+
     for a in range(0, len(q), AT_ONCE):
         part = q[a : a + AT_ONCE]
         zq = project(part)
         open_ = np.arange(len(part))
         for level, (half, need) in enumerate(zip(LEVELS, collisions, strict=True)):
-            last = level == len(LEVELS) - 1
             if not len(open_):
                 break
-            wide = round(half / BUCKET)
-            count = np.zeros((len(open_), len(x)), np.uint8)
-            for j in range(zq.shape[1]):
-                lo = np.searchsorted(arrays[:, j], zq[open_, j] - wide, side="left")
-                hi = np.searchsorted(arrays[:, j], zq[open_, j] + wide, side="right")
-                count += (rank[j][None] - lo.astype(np.uint16)[:, None]) < (hi - lo).astype(np.uint16)[:, None]
-            row, col = np.nonzero(count >= need)
-            cosine = _cosines(part[open_], x, row, col)
-            ok = cosine >= least
-            row, cosine = row[ok], cosine[ok]
+            own = part[open_]
+            counted = _Counted(bits, zq[open_], round(half / BUCKET))
+            row, col, cosine = _verified(own, x, *_pairs_of(counted.at_least(np.full((len(open_), 1), need))), least)
             # the query itself is among the vectors
             done = np.bincount(row[cosine >= SURE[level]], minlength=len(open_)) > k
-            done |= last
+            done |= level == len(LEVELS) - 1
             ends = np.flatnonzero(done)
             if len(ends):
-                own = part[open_[ends]]
-                kth = _kth(row, cosine, len(open_), k, least)[ends].astype(np.float32)[:, None]
-                along = own @ c
-                off = np.sqrt(np.maximum(1 - along**2, 0))
-                must = (kth - SLACK - np.outer(along, along_x)) / np.maximum(np.outer(off, off_x), 1e-6)
-                possible = possible_from[level][np.floor(np.clip(must, -1, 0.95) * 100).astype(np.int16) + 100]
-                near = np.where(count[ends] >= np.minimum(possible, need), own @ x.T, -2)
-                best = np.partition(near, -min(k + 1, len(x)), axis=1)[:, -min(k + 1, len(x)), None]
-                row, col = np.nonzero(near >= np.maximum(best, least) - SLACK)
-                cosine = _cosines(own, x, row, col)
-                ok = cosine >= least
-                out[0].append(open_[ends[row[ok]]] + a)
-                out[1].append(col[ok])
-                out[2].append(cosine[ok])
+                mine = done[row]
+                keep(open_ + a, row[mine], col[mine], cosine[mine])
+                kth = _kth(row, cosine, len(open_), k, least)[ends] - SLACK
+                aq = own[ends] @ c
+                oq = np.sqrt(np.maximum(1 - aq**2, 0))
+                # the least cosine of differences that gives the k-th one is where along is nearest to along of the query / k-th
+                at = np.clip((aq / np.where(np.abs(kth) < 1e-6, 1e-6, kth))[:, None], low[None], high[None])
+                at = np.where(kth[:, None] > 0, at, high[None] if np.all(aq >= 0) else np.where(aq[:, None] >= 0, high[None], low[None]))
+                must = (kth[:, None] - aq[:, None] * at) / np.maximum(oq[:, None] * np.sqrt(np.maximum(1 - at**2, 0)), 1e-6)
+                enough = possible_from[level][np.floor(np.clip(must, -1, 0.95) * 100).astype(np.int16) + 100].astype(np.int64)
+                enough = np.repeat(np.clip(enough, 0, need), np.diff(cuts), axis=1)
+                if (enough < need).any():
+                    counted.planes = [None if p is None else p[ends] for p in counted.planes]
+                    more = counted.at_least(enough) & ~counted.at_least(np.full((len(ends), 1), need))
+                    more[:, -1] &= np.uint64((1 << (n - 64 * (words - 1))) - 1) if n % 64 else ~np.uint64(0)
+                    # queries that most vectors are near to are compared with all at once
+                    many = np.bitwise_count(more).sum(1) * 12 > n
+                    keep(open_[ends] + a, *_verified(own[ends], x, *_pairs_of(np.where(many[:, None], np.uint64(0), more)), least))
+                    if many.any():
+                        every = own[ends[many]] @ x.T
+                        best = np.partition(every, -min(k + 1, n), axis=1)[:, -min(k + 1, n), None]
+                        row, col = np.nonzero(every >= np.maximum(best, least) - SLACK)
+                        keep(open_[ends[many]] + a, *_verified(own[ends[many]], x, row, col, least))
             open_ = open_[~done]
     return tuple(np.concatenate(p) if p else np.zeros(0, np.int64) for p in out)
 
@@ -218,6 +298,9 @@ def _block(c: np.ndarray, collisions: tuple[int, ...], k: int, least: float):
             a, b, cosine = a[ok], b[ok], cosine[ok]
             order = np.lexsort((b, -cosine, a))
             a, b, cosine = a[order], b[order], cosine[order]
+            once = np.ones(len(a), bool)
+            once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            a, b, cosine = a[once], b[once], cosine[once]
             fresh = np.ones(len(a), bool)
             fresh[1:] = a[1:] != a[:-1]
             place = np.arange(len(a)) - np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0)) if len(a) else np.zeros(0)
@@ -238,8 +321,8 @@ def neighbours(cache: DataFrame, asks=None, k: int = K, least: float = -1.0, col
     if None); all vectors are searched. Equal cosines are ranked by vec_id.
     """
     units = materialise(usable(cache))
-    sample = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    c = centroids(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float32).reshape(-1, DIMENSION))
+    sample = sampled(units, "vec_id", SAMPLE)
+    c = centroids(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float32).reshape(-1, DIMENSION))
     placed = units.mapInArrow(_cells(c), "vec_id long, v binary, cell int, home boolean")
     is_query = F.col("home") & (asks if asks is not None else F.lit(True))
     sizes = units.sparkSession.createDataFrame(
