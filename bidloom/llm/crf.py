@@ -25,24 +25,40 @@ class Crf:
         return out
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best states (rows, steps); -1 after a row's end."""
+        """The best states (rows, steps); -1 after a row's end. Longer rows are worked on alone once the others have ended."""
         rows, steps, states = scores.shape
-        best = scores[:, 0] + self.start
+        order = np.argsort(-lengths, kind="stable")
+        scores, size = scores[order], lengths[order]
+        move = self.move.astype(scores.dtype)
+        best = scores[:, 0] + self.start.astype(scores.dtype)
         back = np.zeros((rows, steps, states), np.int8)
+        live = np.searchsorted(-size, -np.arange(steps), side="left")  # rows longer than each step
         for t in range(1, steps):
-            cand = best[:, :, None] + self.move[None]
-            arg = cand.argmax(1)
-            new = np.take_along_axis(cand, arg[:, None, :], 1)[:, 0] + scores[:, t]
-            alive = (t < lengths)[:, None]
-            back[:, t] = np.where(alive, arg, np.arange(states))
-            best = np.where(alive, new, best)
+            n = live[t]
+            if n <= 48:
+                cand = best[:n, :, None] + move[None]
+                arg, new = cand.argmax(1), cand.max(1)
+            else:
+                new, arg = best[:n, :1] + move[0], np.zeros((n, states), np.int8)
+                for k in range(1, states):
+                    cand = best[:n, k : k + 1] + move[k]
+                    better = cand > new
+                    np.copyto(new, cand, where=better)
+                    np.copyto(arg, np.int8(k), where=better)
+            back[:n, t] = arg
+            best[:n] = new + scores[:n, t]
         out = np.full((rows, steps), -1, np.int8)
         if steps:
-            at = best.argmax(1)
+            at, final, done = np.zeros(rows, np.int64), best.argmax(1), 0
             for t in range(steps - 1, -1, -1):
-                out[:, t] = np.where(t < lengths, at, -1)
-                at = back[np.arange(rows), t, at]
-        return out
+                n = live[t]
+                at[done:n] = final[done:n]
+                done = n
+                out[:n, t] = at[:n]
+                at[:n] = back[np.arange(n), t, at[:n]]
+        back_to = np.empty_like(order)
+        back_to[order] = np.arange(rows)
+        return out[back_to]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:

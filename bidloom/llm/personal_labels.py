@@ -39,6 +39,14 @@ Published by the {w} desk, {date} 09:27, room {n}.
 ... on behalf of {firm}.
 ... , identity no. {id}
 ... ; deliver to {address}
+We met {xperson} on {w} yesterday.
+Yesterday {xperson} spoke with {xperson} about ...
+... , as {xperson} told us.
+According to {xperson}, ...
+{xperson} visited the {w}, and {xperson} stayed.
+Mit {xperson} gesprochen: ...
+Nous avons vu {xperson} hier.
+Hablamos con {xperson} ayer.
 Ansprechpartner: {person} zu ...
 ... , gezeichnet {person} für {W}.
 ... , gezeichnet {person} für {W}; Tel. {phone}.
@@ -247,10 +255,11 @@ def labelled(lines: list[str], zlines: list[str], given: list[str], chars: str,
                 continue
             name = frame[at + 1 : frame.index("}", at)]
             at += len(name) + 2
-            kind = {"zperson": "person", "zaddress": "address"}.get(name, name)
+            kind = {"zperson": "person", "xperson": "person", "zaddress": "address"}.get(name, name)
             zname = "".join(rng.choice(chars) for _ in range(4))
             value = (
                 _person(rng, given) if name == "person"
+                else f"{_word(rng, rng.randint(2, 3)).capitalize()}{rng.choice(('', 'n', 'l', 'r'))} {_word(rng, rng.randint(2, 3)).capitalize()}{rng.choice(('ski', 'son', 'ez', 'ard', 'er', 's', 'ic'))}" if name == "xperson"
                 else zname[:2] + rng.choice(("", "", "", " ", "　", "·")) + zname[2 : 2 + rng.choice((1, 2, 2, 2))] if name == "zperson"
                 else _number(rng, rng.choice(_PHONES)) if name == "phone"
                 else _email(rng) if name == "email"

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -153,6 +154,20 @@ def test_random_field_learns_and_decodes():
     assert (got == y)[live].mean() > 0.98 and (got[~live] == -1).all()
 
 
+def test_viterbi_finds_the_best_path_of_rows_of_any_length():
+    rng = np.random.default_rng(5)
+    m = crf.Crf(np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    for rows in (3, 120):
+        lengths = rng.integers(0, 7, rows)
+        scores = rng.normal(size=(rows, 6, 3))
+        got = m.viterbi(scores, lengths)
+        for i, n in enumerate(lengths.tolist()):
+            value = lambda p: m.start[p[0]] + sum(scores[i, t, x] for t, x in enumerate(p)) + sum(m.move[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: E731, B023
+            assert (got[i, n:] == -1).all()
+            if n:
+                assert tuple(got[i, :n]) == max(itertools.product(range(3), repeat=n), key=value)
+
+
 def test_perceptron_learns():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 6, (400, 3))
@@ -190,3 +205,19 @@ def test_redaction_changes_only_the_values(spark, found_personal):
         for r in sorted(spans.get(i, []), key=lambda r: -r["start"]):
             want = want[: r["start"]] + f"[{r['kind'].upper()}]" + want[r["end"] :]
         assert out[i] == want
+
+
+def test_values_in_frames_that_the_table_does_not_have(spark, found_personal):
+    _, p, c, a = found_personal
+    finder = personal.finder(p, c, a)
+    table = [
+        ("We met Quentin Zabrowski on site yesterday", "person", "Quentin Zabrowski"),
+        ("Kaltrina Vukovic asked for the plans again.", "person", "Kaltrina Vukovic"),
+        ("Please forward everything to jane.doe@mail.example before noon", "email", "jane.doe@mail.example"),
+        ("The invoices go to bau-team(at)norwick.test from now on.", "email", "bau-team(at)norwick.test"),
+        ("She can be reached on +49 351 4567890 in the evening", "phone", "+49 351 4567890"),
+    ]
+    got = [(t, k, t[x:y]) for t, _, _ in table for _, x, y, k in finder.label([t])]
+    assert len(set(got) & set(table)) >= 4 and len(set(got) - set(table)) <= 1
+    assert table[0] in got and table[1] in got
+    assert finder.label(["The roof of the bridge is built in time, while lot 42 waits.", "", "\n \n"]) == []
