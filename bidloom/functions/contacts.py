@@ -53,3 +53,51 @@ def company_names(text: str | None) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def companies_in(text: pd.Series) -> pd.Series:
     return text.map(company_names)
+
+
+def contact_names(text: Column) -> Column:
+    """Distinct names of persons after a role, or before one in a table row, in the order roles then rows; what follows a name without being part of it is cut off, two characters stay."""
+    after = F.regexp_extract_all(text, F.lit(fixed.CONTACT_NAME), F.lit(1))
+    rows = F.regexp_extract_all(text, F.lit(fixed.CONTACT_TABLE), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(after, rows), lambda n: F.regexp_replace(n, f"^(.{{2,}}?)[{fixed.NAME_TAIL}]+$", "$1")))
+
+
+_NEAR_NAMES = re.compile(rf"[^。\n]{{0,80}}(?:{'|'.join(fixed.NAME_PLACES)}|{fixed.MOBILE})[^。\n]{{0,80}}")
+_HAN = re.compile(r"[一-鿿]+")
+
+
+def merged_surnames(words: list[str]) -> list[str]:
+    """The words with each single frequent surname put before the next word, if that has one to three Chinese characters."""
+    out, held = [], ""
+    for w in words:
+        if held and 1 <= len(w) <= 3 and _HAN.fullmatch(w):
+            out.append(held + w)
+            held = ""
+            continue
+        if held:
+            out.append(held)
+        held = w if len(w) == 1 and w in fixed.SURNAMES else ""
+        if not held:
+            out.append(w)
+    return [*out, held] if held else out
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, of digits and of other characters; the tokenizer where none is given."""
+    return re.findall(r"[一-鿿]+|[^\W\d_一-鿿]+|\d+", text)
+
+
+def potential_names(text: str | None, tokenizer=words_of) -> list[str]:
+    """Words of two to four Chinese characters near words about contacts or a mobile number that could be names; two characters need a frequent surname."""
+    found = set()
+    for m in _NEAR_NAMES.finditer(text or ""):
+        for w in merged_surnames([x.strip() for x in tokenizer(m[0]) if x.strip()]):
+            if 2 <= len(w) <= 4 and _HAN.fullmatch(w) and w not in fixed.NO_NAMES and not any(k in w for k in ("联系", "电话", "手机", "邮箱", "项目")):
+                if len(w) > 2 or w[0] in fixed.SURNAMES:
+                    found.add(w)
+    return sorted(found)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def potential_names_in(text: pd.Series) -> pd.Series:
+    return text.map(potential_names)

@@ -27,7 +27,6 @@ MARKERS = "型号 设备 品牌 参数 编号 节点 工期 人员 岗位 证书
 CONFUSABLE = "日曰 己已 末未 土士 干千 人入 天夭 王玉 戍戌 概慨 拨拔 析折 准淮 贷货 辨辩 燥躁 侯候 拦栏 历厉 睛晴 徒徙 茶荼".split()
 # Words in front of a company name that say it is the tendering side's.
 TENDERING = "招标人 招标单位 招标代理 招标机构 招标公司 业主 建设单位 采购人 采购单位 项目业主 发包人 委托方 甲方 招标方 项目招标人 项目单位 主管单位 监督单位".split()
-STOP_WORDS = "的 了 和 是 在 有 与 为 等 及".split()
 
 # Thresholds.
 SLOTS = 32
@@ -50,6 +49,19 @@ EMAIL = r"[\p{L}\p{N}_.\-+]+@[\p{L}\p{N}_.\-]+\.[a-zA-Z]{2,}"
 CREDIT_CODE = r"[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}"
 COMPANY = r"[一-龥()（）]{2,30}(?:有限公司|股份有限公司|有限责任公司|集团有限公司|集团公司|控股有限公司|实业有限公司|集团)"
 CONTACT_NAME = r"(?:联系人|项目负责人|法定代表人|授权代表|技术负责人|投标人|委托代理人|被授权人|经办人|签字人|投标代表|技术总监|资深工程师)[：:]?[ \t]*([一-龥]{2,4})"
+CONTACT_TABLE = r"(?:^|\s)([一-龥]{2,4})\s+(?:联系人|项目负责人|法定代表人|授权代表|技术负责人|投标人|项目经理|技术总监|资深工程师|测试主管|产品经理|负责人)"
+TOC_ENTRY = r"([一-鿿A-Za-z0-9（）()《》、：:\-\s]{2,80}?)(?:[\.·•…\s_—-]{2,}|第?\s*)(\d{1,4})\s*页?\s*$"
+TOC_FILL = r"[\.·•…_]{2,}"
+# Characters that follow a name without being part of it.
+NAME_TAIL = "的在是负有及与和这那了着负责整体项目进行"
+# Words near which names of persons stand, words that are no names, and frequent surnames.
+NAME_PLACES = "联系方式 联系人 项目团队 团队成员 项目人员 技术团队 管理团队 团队介绍 主要负责人 联系电话 手机号码".split()
+NO_NAMES = (
+    "联系方式 联系人 联系电话 手机号码 项目团队 团队成员 技术团队 管理团队 项目人员 主要负责人 联系地址 邮政编码 传真号码 电子邮箱 公司名称 统一社会信用 项目概况 "
+    "总体概述 背景分析 建设目标 设计原则 总体架构 技术方案 系统设计 项目管理 总体设计 架构设计 质量管理 安全管理 网络架构 基础架构 核心功能 工程师 技术员 主管经理 副总经理 总经理 "
+    "主管 经理 总监 部长 主任 组长 科长 处长 助理 专员 秘书 顾问 专家"
+).split()
+SURNAMES = "王李张刘陈杨黄赵周吴徐孙马胡朱郭何罗高林郑梁谢宋唐韩曹许邓冯萧程蔡彭潘袁董余苏叶吕魏蒋田杜丁沈姜范江傅钟卢汪戴崔任陆廖姚方金邱夏谭石贾邹熊孟秦薛侯雷白龙段郝孔邵史毛常万顾赖武康贺严峻尹钱施牛洪龚"
 VERSION = r"\d+\.\d+[\d.]*"
 TITLE = r"^(?:[一二三四五六七八九十]+[、．.]|第[一二三四五六七八九十]+[章节部分条]|\d+[.．]|[（(]\d+[)）]|[A-Z][、．.]|[【\[(])"
 LIST_ITEM = r"^(?:[\-—–*•●○□△]+|\d+[.．、)]+|[（(]\d+[)）]|[①②③④⑤⑥⑦⑧⑨⑩]+|[a-z][、．)]+)"

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from bidloom.functions import fixed
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-case runs of letters and numbers of two characters or more."""
+def tokens(text: Column, bigrams: bool = False) -> Column:
+    """Distinct lower-case runs of letters and numbers of two characters or more; with ``bigrams``, runs of Chinese characters as their pairs instead."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    if bigrams:
+        words = F.regexp_extract_all(F.lower(text), F.lit(r"[一-龥]+|[\p{L}\p{N}&&[^一-龥]]+"), F.lit(0))
+        pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
+        words = F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[一-龥]{2,}$"), pairs(w)).otherwise(F.array(w))))
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))
 
 
@@ -66,7 +70,7 @@ def software_fingerprint(creator: Column, producer: Column) -> Column:
 
 
 def money(text: Column) -> Column:
-    """Distinct amounts of yuan in a text, in yuan, ascending."""
+    """Distinct amounts of yuan in a text, in yuan, ascending. A currency sign or name may stand before the amount; the unit decides."""
     whole = F.regexp_extract_all(text, F.lit(fixed.MONEY), F.lit(1))
     unit = F.regexp_extract_all(text, F.lit(fixed.MONEY), F.lit(2))
     value = F.zip_with(whole, unit, lambda a, u: F.regexp_replace(a, ",", "").try_cast("double") * F.when(u == "万", 10000.0).otherwise(1.0))

@@ -63,3 +63,45 @@ def confusable(matches: DataFrame, ocr: DataFrame) -> DataFrame:
     both = [p for x in fixed.CONFUSABLE for p in (x, x[::-1])]
     rows = matches.select("doc_a", "doc_b").distinct().join(side("a"), "doc_a").join(side("b"), ["doc_b", "key"]).filter(F.concat("c_a", "c_b").isin(both))
     return rows.select("doc_a", "doc_b", "word_a", "word_b").distinct()
+
+
+def in_dimension(pictures: DataFrame, labels: DataFrame, dimension: str) -> DataFrame:
+    """Pictures (doc_id, page_num) on pages of one label; those without a page pass."""
+    own = labels.filter(F.col("label") == dimension).select("doc_id", F.col("page").alias("page_num"), F.lit(True).alias("_in"))
+    return pictures.join(own, ["doc_id", "page_num"], "left").filter("_in or page_num is null").drop("_in")
+
+
+def dimension_tags(pairs: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, tag) of pairs of documents with a picture's page each (``pages``: doc_id, page)."""
+    known = pages.join(labels.select("doc_id", "page", "label"), ["doc_id", "page"])
+    side = lambda x: known.select(F.col("doc_id").alias(f"doc_{x}"), F.col("label").alias(x))
+    rows = pairs.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left")
+    is_ = lambda x, v: F.coalesce(F.col(x) == v, F.lit(False))
+    tag = F.when(is_("a", "technical") & is_("b", "technical"), "tech_image").when(is_("a", "commercial") & is_("b", "commercial"), "com_image")
+    mixed = is_("a", "technical") & is_("b", "commercial") | is_("a", "commercial") & is_("b", "technical")
+    return rows.select("doc_a", "doc_b", tag.when(mixed, "tech_image+com_image").otherwise("unknown").alias("tag"))
+
+
+def allowed(ocr: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """Pictures with a hash that isn't on the blacklist (image_hash)."""
+    return ocr.filter("image_hash <> ''").join(blacklist.select("image_hash").distinct(), "image_hash", "left_anti")
+
+
+def text_of_hash(ocr: DataFrame, size: int = 200) -> DataFrame:
+    """(image_hash, text): of the pictures of each hash the first with a text, cut to ``size`` characters."""
+    rows = ocr.filter("image_hash <> '' and text is not null")
+    return rows.groupBy("image_hash").agg(F.min_by(F.substring("text", 1, size), "ocr_id").alias("text"))
+
+
+def rare_words(pairs: DataFrame, words: DataFrame, dictionary: DataFrame, least: int = 4, shown: int = 10) -> DataFrame:
+    """(doc_a, doc_b, words, n): words of ``dictionary`` of ``least`` characters or more, not all ASCII, that both documents have; two at least, the first ``shown``."""
+    rare = dictionary.filter((F.length("w") >= least) & F.col("w").rlike(r"[^\x00-\x7F]"))
+    own = words.join(rare, "w", "left_semi").distinct()
+    side = lambda x: own.select(F.col("doc_id").alias(f"doc_{x}"), "w")
+    both = pairs.select("doc_a", "doc_b").distinct().join(side("a"), "doc_a").join(side("b"), ["doc_b", "w"])
+    return both.groupBy("doc_a", "doc_b").agg(F.slice(F.sort_array(F.collect_list("w")), 1, shown).alias("words"), F.count("*").alias("n")).filter("n >= 2")
+
+
+def pair_buckets(pairs: DataFrame) -> DataFrame:
+    """(exact, near, similar): how many matches (d, bits apart) are equal, at most 5 bits apart, and further apart."""
+    return pairs.agg(F.count_if(F.col("d") == 0).alias("exact"), F.count_if((F.col("d") > 0) & (F.col("d") <= 5)).alias("near"), F.count_if(F.col("d") > 5).alias("similar"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.functions import contacts, fixed, text
-from bidloom.operators import graph, images, matching, sections, setjoin, sketch
+from bidloom.operators import graph, images, matching, sections, setjoin, sketch, vectors
 from bidloom.plans import items
 from bidloom.session import materialise
 from bidloom.sources import store
@@ -266,48 +266,33 @@ def bidder_cross_mentions(spark: SparkSession, d: str) -> DataFrame:
 )
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of all vectors, for the vectors whose id is divisible by 100; the queries go out in blocks."""
-    from bidloom.operators import vectors
-
     return vectors.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
 _V = _P + ", d AS (SELECT p.doc_id, c.embedding FROM p JOIN (SELECT text_hash, any_value(embedding) AS embedding FROM text_embedding_cache WHERE len(embedding) = 384 AND NOT list_contains(list_transform(embedding, lambda x : isnan(x)), true) GROUP BY text_hash) c ON md5(p.text) = c.text_hash)"
 
 
+def document_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, vectors, mean): the mean of the vectors of each document's paragraphs."""
+    cache = table(spark, d, "text_embedding_cache").select("text_hash", "embedding").filter(vectors.usable(F.col("embedding"), 384)).dropDuplicates(["text_hash"])
+    rows = _once(spark, d).select("doc_id", F.md5("text").alias("text_hash")).join(cache, "text_hash")
+    return vectors.mean(rows, "doc_id", "embedding")
+
+
 @query(
     _V + ", x AS (SELECT doc_id, i, avg(v) AS m FROM (SELECT doc_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM d) GROUP BY doc_id, i), n AS (SELECT doc_id, count(*) AS vectors FROM d GROUP BY doc_id)"
-    " SELECT doc_id, any_value(vectors) AS vectors, round(sqrt(sum(m * m)), 5) AS norm, round(max(CASE WHEN i = 1 THEN m END), 5) AS first FROM x JOIN n USING (doc_id) GROUP BY doc_id"
+    " SELECT doc_id, any_value(vectors) AS vectors, round(sqrt(sum(m * m)), 5) AS norm, round(max(CASE WHEN i = 1 THEN m END), 5) AS first, round(sum(m * i), 4) AS weighted FROM x JOIN n USING (doc_id) GROUP BY doc_id"
 )
 def doc_vector_mean(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' mean vectors: how many vectors, the mean's length and first component."""
-    from bidloom.operators import vectors
-
-    cache = table(spark, d, "text_embedding_cache").select("text_hash", "embedding").filter(vectors.usable(F.col("embedding"), 384)).dropDuplicates(["text_hash"])
-    rows = _once(spark, d).select("doc_id", F.md5("text").alias("text_hash")).join(cache, "text_hash")
-    means = vectors.mean(rows, "doc_id", "embedding")
+    """Documents' mean vectors: how many vectors, the mean's length, its first component, and the sum of components times their places."""
+    means = document_vectors(spark, d)
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
-    return means.select("doc_id", "vectors", F.round(norm, 5).alias("norm"), F.round(F.col("mean")[0], 5).alias("first"))
+    return means.select("doc_id", "vectors", F.round(norm, 5).alias("norm"), F.round(F.col("mean")[0], 5).alias("first"), F.round(vectors.dot(F.col("mean"), F.sequence(F.lit(1), F.lit(384)).cast("array<double>")), 4).alias("weighted"))
 
 
 # candidates
 
 
-_CAND = _SH + ", k AS (SELECT doc_a, doc_b, 1 AS rank, 'text' AS method FROM j UNION ALL SELECT doc_a, doc_b, 2, 'image' FROM image_matches WHERE similarity >= 0.9), c2 AS (SELECT doc_a, doc_b, method FROM k QUALIFY row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY rank) = 1)"
-
-
-@query(_CAND + " SELECT doc_a, doc_b, method FROM c2")
-def candidate_union_precedence(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs of all generators; a pair found by several keeps the first method."""
-    near = setjoin.near_duplicates(table(spark, d, "documents")).select("doc_a", "doc_b", F.lit(1).alias("rank"), F.lit("text").alias("method"))
-    image = table(spark, d, "image_matches").filter("similarity >= 0.9").select("doc_a", "doc_b", F.lit(2).alias("rank"), F.lit("image").alias("method"))
-    return near.union(image).groupBy("doc_a", "doc_b").agg(F.min_by("method", "rank").alias("method"))
-
-
-@query(_CAND + " SELECT method, count(*) AS pairs FROM c2 GROUP BY method")
-def method_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return candidate_union_precedence(spark, d).groupBy("method").agg(F.count("*").alias("pairs"))
-
-
 @query("SELECT DISTINCT doc_a, doc_b FROM image_matches a WHERE NOT EXISTS (SELECT 1 FROM image_matches b WHERE a.doc_a = b.doc_a AND a.doc_b = b.doc_b AND b.similarity >= 0.5)")
 def pending_pairs_anti(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs without a result of 0.5 or more."""
@@ -321,7 +306,7 @@ def pending_pairs_anti(spark: SparkSession, d: str) -> DataFrame:
 _LSH = _SIG + (
     ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id) WHERE len(list_distinct(p.tokens)) >= 12), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
     " bd AS (SELECT para_id, doc_id, sig, i, sig[4 * i + 1 : 4 * i + 4] AS x FROM rp, range(8) r(i)),"
-    " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 26"
+    " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16"
     " UNION SELECT least(z.doc_id, r.doc_id), greatest(z.doc_id, r.doc_id) FROM z JOIN hd ON z.sig = hd.sig JOIN rp r ON r.para_id = hd.rep WHERE z.doc_id <> r.doc_id)"
 )
 
@@ -542,7 +527,7 @@ _LABELS = (
 
 @query(_LABELS + " SELECT doc_id, page, label, method FROM lb")
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
-    return sections.page_labels(sections.page_texts(table(spark, d, "paragraphs")))
+    return sections.page_labels(sections.page_texts(table(spark, d, "paragraphs"))).drop("both")
 
 
 @query(_LABELS + " SELECT p.para_id, p.doc_id FROM p JOIN lb ON lb.doc_id = p.doc_id AND lb.page = p.page_num WHERE lb.label = 'technical'")

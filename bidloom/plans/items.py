@@ -13,16 +13,16 @@ ITEMS = {
     "EDITOR_SIGNER_SIMILAR": "item_editor",
     "DOC_AUTHOR_SIMILAR": "item_author",
     "SAME_BID_CONTACT_SIMILAR": "item_contact",
-    "SAME_bidderName_SIMILAR": "bidder_cross_mentions",
+    "SAME_bidderName_SIMILAR": "item_bidder_name",
     "TECH_BID_SIMILAR": "item_text_technical",
     "Business_BID_SIMILAR": "item_text_commercial",
 }
 
 
-def requests(companies: DataFrame) -> DataFrame:
-    """The last submission of each request row."""
+def requests(companies: DataFrame, *more: str) -> DataFrame:
+    """The last submission of each request row, with further columns of it."""
     rows = store.upserted(companies, ["company_record_id"], [F.desc_nulls_last("submitted_at"), F.asc_nulls_last("bid_file_url"), F.asc_nulls_last("bidder_name")])
-    return rows.select("company_record_id", "section_id", "doc_id")
+    return rows.select("company_record_id", "section_id", "doc_id", *more)
 
 
 def editor_key() -> Column:
@@ -58,8 +58,13 @@ def text_verdicts(companies: DataFrame, scores: DataFrame, matches: DataFrame) -
 
 
 def analyze(spark, directory: str, item_code: str, company_record_ids: list[int] | None = None) -> DataFrame:
-    """The verdicts of one check item, for some companies or all. Unknown items and empty requests are errors."""
-    from bidloom.plans import catalog
+    """The verdicts of one check item, for some companies in the order of the request (column ``place``), or for all.
+
+    Every company asked for has a row: one that isn't in the table is an ERROR.
+    Unknown items and empty requests are errors of the call; what fails while the
+    plan is made gives an ERROR for every company, with the stage and the cause.
+    """
+    from bidloom.plans import catalog, evidence  # noqa: F401
 
     if item_code not in ITEMS:
         raise ValueError(f"unknown item: {item_code}")
@@ -67,5 +72,12 @@ def analyze(spark, directory: str, item_code: str, company_record_ids: list[int]
         raise ValueError("no companies given")
     if company_record_ids is not None and len(company_record_ids) < 2 and item_code in ("TECH_BID_SIMILAR", "Business_BID_SIMILAR"):
         raise ValueError("two companies or more are needed")
-    rows = catalog.QUERIES[ITEMS[item_code]](spark, directory)
-    return rows if company_record_ids is None or "company_record_id" not in rows.columns else rows.filter(F.col("company_record_id").isin(company_record_ids))
+    if company_record_ids is None:
+        return catalog.QUERIES[ITEMS[item_code]](spark, directory)
+    asked = spark.createDataFrame([(i, int(c)) for i, c in enumerate(dict.fromkeys(company_record_ids))], "place int, company_record_id long")
+    try:
+        rows = catalog.QUERIES[ITEMS[item_code]](spark, directory)
+    except Exception as e:  # noqa: BLE001 - a request always gets its verdicts
+        return asked.select("place", "company_record_id", F.lit("ERROR").alias("status"), F.lit("plan").alias("stage"), F.lit(str(e)[:500]).alias("error")).orderBy("place")
+    found = F.broadcast(asked).join(rows, "company_record_id", "left").withColumn("status", F.coalesce("status", F.lit("ERROR")))
+    return found.select("place", *rows.columns).orderBy("place")

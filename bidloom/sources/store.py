@@ -29,6 +29,12 @@ def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*columns)).alias("json"))
 
 
+def errors(rows: DataFrame, name: str, key: str, stage: str, checks: dict[str, Column]) -> DataFrame:
+    """(source_table, key, stage, message): a row for each check (message and condition of what is wrong) that a row doesn't pass."""
+    found = F.filter(F.array(*[F.when(bad, F.lit(m)) for m, bad in checks.items()]), lambda m: m.isNotNull())
+    return rows.select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("key"), F.lit(stage).alias("stage"), F.explode(found).alias("message"))
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     json_lines(rows).write.mode("overwrite").text(path)
 
