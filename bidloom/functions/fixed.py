@@ -35,7 +35,8 @@ EXACT_RATIO = 0.85
 COSINE = 0.80
 COSINE_SHORT = 0.90
 SHORT = 100
-TOP_PER_PAIR = 5000
+TOP_PER_PAIR, TOP_MATCHES, HIGHLIGHTED = 5000, 10_000, 500
+COMMON_WORDS, SURE_COSINE = 0.20, 0.90
 WEIGHT_MAX, WEIGHT_TOP, WEIGHT_MEAN, TOP_K = 0.40, 0.30, 0.20, 8
 BOILERPLATE_WEIGHT = 0.3
 TEMPLATE_RATIO, TEMPLATE_INFO = 0.55, 0.28

@@ -21,10 +21,11 @@ def page_terms(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", t.alias("technical"), c.alias("commercial"))
 
 
-def page_labels(pages: DataFrame) -> DataFrame:
+def page_labels(pages: DataFrame, without_titles: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, label, method, both): by titles in the text, else by density of terms, else unknown; ``both``: the document has both parts.
 
-    The part that starts first goes up to the page where the other starts.
+    The part that starts first goes up to the page where the other starts. Titles on
+    the pages ``without_titles`` (doc_id, page) don't count.
     """
     head = F.substring(text.compact(F.substring("text", 1, 120)), 1, 120)
     short = (F.length(head) <= 80) | head.rlike("^(?:第|[一二三四五六七八九十]+、)")
@@ -35,6 +36,9 @@ def page_labels(pages: DataFrame) -> DataFrame:
         F.when(has(fixed.COMMERCIAL_TITLES), "c").when(has(fixed.TECHNICAL_TITLES), "t").alias("title"),
         F.when(F.col("commercial") > F.col("technical"), "c").when(F.col("technical") > F.col("commercial"), "t").alias("dense"),
     )
+    if without_titles is not None:
+        bare = without_titles.select("doc_id", "page", F.lit(True).alias("bare"))
+        marked = marked.join(bare, ["doc_id", "page"], "left").withColumn("title", F.when(F.col("bare").isNull(), F.col("title")))
     first = lambda c, v: F.min(F.when(F.col(c) == v, F.col("page")))
     starts = marked.groupBy("doc_id").agg(first("title", "t").alias("tt"), first("title", "c").alias("tc"), first("dense", "t").alias("dt"), first("dense", "c").alias("dc"))
     by = F.col("tt").isNotNull() | F.col("tc").isNotNull()
@@ -51,13 +55,8 @@ def page_labels(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", label.alias("label"), "method", (F.col("t").isNotNull() & F.col("c").isNotNull()).alias("both"))
 
 
-def contents_entries(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, page, title, printed, label): lines with a trailing page number on front pages that look like a table of contents.
-
-    Front pages are the first eight, or the first 12 % of a longer document. A page
-    looks so if it says it near its top, or if a quarter of its lines, two at least,
-    are entries or filled with dots. Commercial terms go before technical ones.
-    """
+def _contents(pages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of front pages, marked as entries, and (doc_id, page) of those that look like a table of contents."""
     size = documents.groupBy("doc_id").agg(F.max("page_count").alias("pages"))
     front = pages.join(size, "doc_id").filter(F.col("page") <= F.greatest(F.lit(8), F.floor(F.col("pages") * 0.12)))
     lines = front.select("doc_id", "page", "pages", F.contains(F.substring("text", 1, 200), F.lit("目录")).alias("says"), F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).filter("line <> ''")
@@ -65,21 +64,33 @@ def contents_entries(pages: DataFrame, documents: DataFrame) -> DataFrame:
     entry = F.col("line").rlike(r"\d\s*页?\s*$") & F.col("line").rlike(fixed.TOC_ENTRY)
     marked = lines.withColumn("entry", entry).withColumn("like", entry | F.col("line").rlike(fixed.TOC_FILL))
     own = marked.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if("like").alias("k"), F.max("says").alias("said"))
-    toc = own.filter((F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") / 4))) | F.col("said")).select("doc_id", "page")
+    return marked, own.filter((F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") / 4))) | F.col("said")).select("doc_id", "page")
+
+
+def contents_entries(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, page, title, printed, label): lines with a trailing page number on front pages that look like a table of contents.
+
+    Front pages are the first eight, or the first 12 % of a longer document. A page
+    looks so if it says it near its top, or if a quarter of its lines, two at least,
+    are entries or filled with dots. Commercial terms go before technical ones.
+    """
+    marked, toc = _contents(pages, documents)
     title = F.trim(F.regexp_extract("line", fixed.TOC_ENTRY, 1))
     rows = marked.filter("entry").join(toc, ["doc_id", "page"]).select("doc_id", "page", "pages", title.alias("title"), F.regexp_extract("line", fixed.TOC_ENTRY, 2).cast("int").alias("printed"))
     label = F.when(F.col("title").rlike("|".join(fixed.COMMERCIAL_TERMS)), "commercial").when(F.col("title").rlike("|".join(fixed.TECHNICAL_TERMS)), "technical")
     return rows.filter((F.col("printed") >= 1) & (F.col("printed") <= F.col("pages") + 50)).select("doc_id", "page", "title", "printed", label.alias("label")).distinct()
 
 
-def page_classes(pages: DataFrame, entries: DataFrame) -> DataFrame:
+def page_classes(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, page, label, method, confidence): ``page_labels`` with what told it and how sure that is.
 
-    Titles in the text tell where a part begins; a table of contents that names a
-    part makes that surer. Without titles the density of terms tells.
+    Titles in the text, tables of contents left out, tell where a part begins; a
+    table of contents that names a part makes that surer. Without titles the
+    density of terms tells.
     """
+    entries, toc = contents_entries(pages, documents), _contents(pages, documents)[1]
     listed = entries.filter("label is not null").select("doc_id", F.lit(True).alias("listed")).distinct()
-    rows = page_labels(pages).join(listed, "doc_id", "left")
+    rows = page_labels(pages, toc).join(listed, "doc_id", "left")
     sure = lambda two, one: F.when(F.col("both"), two).otherwise(one)
     by_title, is_listed = F.col("method") == "title", F.coalesce("listed", F.lit(False))
     method = F.when(by_title & is_listed, "toc_entries").when(by_title, "body_anchors").when(F.col("method") == "density", "keyword_density").otherwise("none")

@@ -55,15 +55,33 @@ def hex_bits(digits: Column) -> Column:
     return F.when(ok, F.shiftleft(F.conv(F.substring(digits, 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")))
 
 
+def _blocks(distance: int) -> tuple[list[int], int]:
+    """Bounds of blocks of bits, and how many bits of a block are flipped: with ``distance`` bits spread over the blocks, one has that few."""
+    flips = 1 if distance >= 6 else 0
+    n = distance // (flips + 1) + 1
+    return [round(i * 64 / n) for i in range(n + 1)], flips
+
+
+def hash_blocks(h: Column, distance: int, flipped: bool = False) -> Column:
+    """(block, bits) of a 64-bit hash; with ``flipped`` also those with one bit of the block changed, where the distance asks for it."""
+    cuts, flips = _blocks(distance)
+    out = []
+    for i in range(len(cuts) - 1):
+        size = cuts[i + 1] - cuts[i]
+        bits = F.shiftrightunsigned(h, cuts[i]).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))
+        masks = [0] + ([1 << b for b in range(size)] if flips and flipped else [])
+        out += [F.struct(F.lit(i).alias("block"), bits.bitwiseXOR(F.lit(m)).alias("bits")) for m in masks]
+    return F.array(*out)
+
+
 def near_hashes(hashes: DataFrame, key: str, distance: int) -> DataFrame:
     """(hash_a, hash_b, d): all pairs of different hashes (distinct longs in ``key``) at most ``distance`` bits apart.
 
-    Exact: of distance + 1 blocks of bits, at least one is equal.
+    Exact: of distance + 1 blocks of bits one is equal, or, from 6 bits on, of half
+    as many and wider blocks one differs in a bit at most, which one side tries.
     """
-    blocks, cuts = distance + 1, [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
-    part = lambda c: F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(blocks)])
     one = hashes.select(F.col(key).alias("hash_a")).filter("hash_a is not null").distinct()
-    a = one.select("hash_a", F.inline(part(F.col("hash_a"))))
-    b = a.withColumnRenamed("hash_a", "hash_b")
+    a = one.select("hash_a", F.inline(hash_blocks(F.col("hash_a"), distance, True)))
+    b = one.select(F.col("hash_a").alias("hash_b"), F.inline(hash_blocks(F.col("hash_a"), distance)))
     d = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
     return a.join(b, ["block", "bits"]).filter("hash_a < hash_b").select("hash_a", "hash_b", d.alias("d")).filter(F.col("d") <= distance).distinct()

@@ -105,15 +105,12 @@ def simhash64(spark: SparkSession, d: str) -> DataFrame:
     _SIM + ", q AS (SELECT * FROM h WHERE doc_id % 100 = 0) SELECT q.doc_id AS query_id, h.doc_id, bit_count(xor(q.high, h.high)) + bit_count(xor(q.low, h.low)) AS d FROM q JOIN h ON q.doc_id <> h.doc_id WHERE bit_count(xor(q.high, h.high)) + bit_count(xor(q.low, h.low)) <= 12"
 )
 def simhash_search(spark: SparkSession, d: str) -> DataFrame:
-    """For documents whose id is divisible by 100, all documents at most 12 bits away: of 13 blocks of bits, one is equal."""
-    h = _simhashes(spark, d)
-    cuts = [round(i * 64 / 13) for i in range(14)]
+    """For documents whose id is divisible by 100, all documents at most 12 bits away: of 7 blocks of 9 bits, one differs in a bit at most."""
     whole = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(whole, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(13)])
-    rows = h.select("doc_id", "high", "low", F.inline(blocks))
-    asks = rows.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("high").alias("qh"), F.col("low").alias("ql"), "block", "bits")
-    dist = sketch.hamming(F.col("qh"), F.col("ql"), F.col("high"), F.col("low"))
-    return asks.join(rows, ["block", "bits"]).filter("query_id <> doc_id").select("query_id", "doc_id", dist.alias("d")).filter("d <= 12").distinct()
+    h = _simhashes(spark, d).select("doc_id", whole.alias("h"))
+    asks = h.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("h").alias("q"), F.inline(sketch.hash_blocks(F.col("h"), 12, True)))
+    near = asks.join(h.select("doc_id", "h", F.inline(sketch.hash_blocks(F.col("h"), 12))), ["block", "bits"])
+    return near.filter("query_id <> doc_id").select("query_id", "doc_id", F.bit_count(F.col("q").bitwiseXOR(F.col("h"))).alias("d")).filter("d <= 12").distinct()
 
 
 _SH = r"""
@@ -369,7 +366,9 @@ def lsh_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 _M = _LSH + (
-    ", c AS (SELECT doc_a, doc_b FROM image_matches UNION SELECT doc_a, doc_b FROM lp), o AS (SELECT p.*, k.sig FROM p JOIN k USING (para_id)),"
+    ", zc AS (SELECT z.doc_id, hd.rep FROM z JOIN hd ON z.sig = hd.sig), lk AS (SELECT DISTINCT a.para_id AS ca, b.para_id AS cb FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16),"
+    " la AS (SELECT least(v.doc_id, w.doc_id) AS doc_a, greatest(v.doc_id, w.doc_id) AS doc_b FROM lk JOIN zc v ON v.rep = ca JOIN zc w ON w.rep = cb WHERE v.doc_id <> w.doc_id UNION SELECT v.doc_id, w.doc_id FROM zc v JOIN zc w USING (rep) WHERE v.doc_id < w.doc_id),"
+    " c AS (SELECT doc_a, doc_b FROM image_matches UNION SELECT doc_a, doc_b FROM la), o AS (SELECT p.*, k.sig FROM p JOIN k USING (para_id)),"
     " s1 AS (SELECT c.doc_a, c.doc_b, a.para_id AS para_a, b.para_id AS para_b, a.para_index AS index_a, b.para_index AS index_b, len(list_filter(list_zip(a.sig, b.sig), lambda z : z[1] = z[2])) AS slots, a.text AS text_a, b.text AS text_b,"
     " list_distinct(list_transform(a.tokens, lambda t : lower(t))) AS words_a, list_distinct(list_transform(b.tokens, lambda t : lower(t))) AS words_b FROM c JOIN o a ON a.doc_id = c.doc_a JOIN o b ON b.doc_id = c.doc_b AND a.source = b.source),"
     " s AS (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY slots DESC, index_a, index_b, para_a, para_b) AS place FROM s1 WHERE slots >= 4),"
@@ -411,14 +410,41 @@ def match_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d)[0].select("doc_a", "doc_b", "para_a", "para_b", "similarity")
 
 
+_VC = ", vc AS (SELECT text_hash, any_value(embedding)::DOUBLE[] AS v FROM text_embedding_cache WHERE len(embedding) = 384 AND NOT list_contains(list_transform(embedding, lambda x : isnan(x)), true) GROUP BY text_hash)"
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """Stage one's rows alike by a quarter of the slots or four tenths of the words, with the cosine of their texts' vectors where both are known."""
+    stage, paragraphs = _stage(spark, d)
+    rows = matching.verified(stage, paragraphs).filter((F.col("slots") >= fixed.SLOTS / 4) | (F.col("jaccard") >= 0.4))
+    return matching.with_cosine(rows, table(spark, d, "text_embedding_cache"))
+
+
+@query(
+    _M
+    + _VC
+    + ", cs AS (SELECT j.*, list_cosine_similarity(a.v, b.v) AS cosine FROM j JOIN vc a ON a.text_hash = md5(text_a) JOIN vc b ON b.text_hash = md5(text_b) WHERE slots >= 8 OR jaccard >= 0.4)"
+    " SELECT doc_a, doc_b, para_a, para_b, round(cosine, 4) AS similarity FROM cs WHERE NOT isnan(cosine) AND cosine >= CASE WHEN least(length(text_a), length(text_b)) < 100 THEN 0.90 ELSE 0.80 END AND NOT (cosine < 0.90 AND jaccard < 0.20)"
+)
+def match_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs that match by the cosine of their vectors; those below 0.90 without a fifth of their words in common don't."""
+    return matching.by_cosine(_compared(spark, d)).select("doc_a", "doc_b", "para_a", "para_b", F.round("cosine", 4).alias("similarity"))
+
+
+@query()
+def match_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with the way that found them: the string ratio over 0.85 (Exact-Jaccard), else the cosine (SBERT); the best 10,000 of each pair of documents."""
+    return matching.routed(_compared(spark, d)).select("doc_a", "doc_b", "para_a", "para_b", F.round("similarity", 6).alias("similarity"), "method")
+
+
 @query()
 def match_string_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """The gated string ratio of matches, and what both texts have in common."""
+    """The gated string ratio of each pair's 500 best matches, and what both texts have in common; matches whose common parts cover little of either text are left out."""
     from bidloom.functions import fuzzy
 
-    rows = _matches(spark, d)[0]
+    rows = matching.best(_matches(spark, d)[0], fixed.HIGHLIGHTED)
     marked = rows.select("doc_a", "doc_b", "para_a", "para_b", fuzzy.string_ratio("text_a", "text_b", "jaccard", F.col("slots") / fixed.SLOTS).alias("ratio"), fuzzy.highlighted("text_a", "text_b").alias("h"))
-    return marked.select("doc_a", "doc_b", "para_a", "para_b", F.round("ratio", 6).alias("ratio"), F.col("h.parts").alias("parts"))
+    return marked.filter("h.covered").select("doc_a", "doc_b", "para_a", "para_b", F.round("ratio", 6).alias("ratio"), F.col("h.parts").alias("parts"))
 
 
 _NORM = r"left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', '', 'g'), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.+-]+', 'EMAIL', 'g'), '1[3-9]\d{9}', 'PHONE', 'g'), '\d+(?:\.\d+)?', '#', 'g'), 500)"

@@ -104,7 +104,7 @@ def toc_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CLASSES = (
-    _LABELS.replace(_PAGES, _TOC, 1)
+    _LABELS.replace(_PAGES, _TOC, 1).replace("CASE WHEN short AND", "CASE WHEN EXISTS (SELECT 1 FROM tp WHERE tp.doc_id = mk.doc_id AND tp.page = mk.page) THEN NULL WHEN short AND", 1)
     + ", en AS (SELECT doc_id, count(*) FILTER (WHERE label = 'technical') AS nt, count(*) FILTER (WHERE label = 'commercial') AS nc FROM tq JOIN dp USING (doc_id) WHERE printed BETWEEN 1 AND pages + 50 AND label IS NOT NULL GROUP BY doc_id)"
     " SELECT lb.doc_id, lb.page, lb.label, CASE WHEN lb.method = 'title' AND en.doc_id IS NOT NULL THEN 'toc_entries' WHEN lb.method = 'title' THEN 'body_anchors' WHEN lb.method = 'density' THEN 'keyword_density' ELSE 'none' END AS method,"
     " CAST(CASE WHEN lb.method = 'title' AND en.doc_id IS NOT NULL THEN CASE WHEN t IS NOT NULL AND c IS NOT NULL THEN 0.92 ELSE 0.72 END WHEN lb.method = 'title' THEN CASE WHEN t IS NOT NULL AND c IS NOT NULL THEN 0.84 ELSE 0.70 END WHEN lb.method = 'density' THEN CASE WHEN t IS NOT NULL AND c IS NOT NULL THEN 0.58 ELSE 0.55 END ELSE 0.0 END AS DOUBLE) AS confidence"
@@ -116,7 +116,7 @@ _CLASSES = (
 def page_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each page's part with the strategy that told it (contents with titles, titles, density of terms) and its confidence."""
     pages = sections.page_texts(table(spark, d, "paragraphs"))
-    return sections.page_classes(pages, sections.contents_entries(pages, table(spark, d, "documents")))
+    return sections.page_classes(pages, table(spark, d, "documents"))
 
 
 @query(_LABELS + ", oc AS (SELECT DISTINCT ocr_id, doc_id, page_num, image_hash FROM ocr_results) SELECT oc.ocr_id, oc.doc_id, oc.page_num FROM oc LEFT JOIN lb ON lb.doc_id = oc.doc_id AND lb.page = oc.page_num WHERE lb.label = 'technical' OR oc.page_num IS NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,11 +27,11 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only a session that has none (tests, one machine) gets a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = spark.conf.get("bidloom.own.folder", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``. A session on one machine that has none gets a temporary one; on a cluster that is an error, since executors would write to their own disks."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("bidloom.own.folder", None)
     if named is None:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="bidloom-")
         atexit.register(shutil.rmtree, named, True)
         spark.conf.set("bidloom.own.folder", named)
@@ -38,7 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written as a table into the shared folder and read back, which cuts its lineage and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/bidloom-{uuid.uuid4().hex}"
+    """``df`` written as a table into the shared folder and read back, which cuts its lineage and survives the loss of executors.
+
+    Tables live under a folder of this application, which ``remove_tables`` takes away.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/bidloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application; results that were not written before can't be read after."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/bidloom-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

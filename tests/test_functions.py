@@ -72,4 +72,4 @@ def test_ratio_is_the_library_s_unless_gated(a, b):
 
 def test_highlight_marks_common_parts():
     got = fuzzy.highlight("xx common passage yy", "zz common passage ww")
-    assert got["a"] == "xx【 common passage 】yy".replace("xx【 ", "xx【 ") and got["parts"] == [" common passage "]
+    assert got["a"] == "xx【 common passage 】yy".replace("xx【 ", "xx【 ") and got["parts"] == ["common passage"]
