@@ -301,7 +301,7 @@ def pending_pairs_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LSH = _SIG + (
-    ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id) WHERE len(list_distinct(p.tokens)) >= 12), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
+    ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id)), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
     " bd AS (SELECT para_id, doc_id, sig, i, sig[4 * i + 1 : 4 * i + 4] AS x FROM rp, range(8) r(i)),"
     " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16"
     " UNION SELECT least(z.doc_id, r.doc_id), greatest(z.doc_id, r.doc_id) FROM z JOIN hd ON z.sig = hd.sig JOIN rp r ON r.para_id = hd.rep WHERE z.doc_id <> r.doc_id)"
@@ -309,8 +309,8 @@ _LSH = _SIG + (
 
 
 def _lsh_classes(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(para_id, doc_id, class_id, sig): paragraphs of 12 words or more; those with equal signatures are a class, numbered by its least paragraph."""
-    rows = sketches.join(paragraphs.filter(F.size(F.array_distinct("tokens")) >= 12).select("para_id", "doc_id"), "para_id")
+    """(para_id, doc_id, class_id, sig): paragraphs with words; those with equal signatures are a class, numbered by its least paragraph."""
+    rows = sketches.join(paragraphs.select("para_id", "doc_id"), "para_id")
     return rows.join(rows.groupBy("sig").agg(F.min("para_id").alias("class_id")), "sig").select("para_id", "doc_id", "class_id", "sig")
 
 
