@@ -353,13 +353,13 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _lsh(materialise(minhash_sketch(spark, d)), _once(spark, d))
 
 
-@query()
+@query(_LSH + " SELECT z.para_id, z.doc_id, hd.rep AS class_id FROM z JOIN hd ON z.sig = hd.sig")
 def lsh_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of each paragraph of ``lsh_candidates``."""
     return _lsh_classes(materialise(minhash_sketch(spark, d)), _once(spark, d)).select("para_id", "doc_id", "class_id")
 
 
-@query()
+@query(_LSH + " SELECT DISTINCT a.para_id AS class_a, b.para_id AS class_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16")
 def lsh_links(spark: SparkSession, d: str) -> DataFrame:
     """Links between the classes of ``lsh_classes``."""
     return _lsh_links(materialise(_lsh_classes(materialise(minhash_sketch(spark, d)), _once(spark, d))))
@@ -502,11 +502,13 @@ def boilerplate_decay(spark: SparkSession, d: str) -> DataFrame:
     return _kept(spark, d)[0].select("doc_a", "doc_b", "para_a", "para_b", "similarity", F.round("info", 6).alias("info"))
 
 
-@query(
-    _MM
-    + ", n AS (SELECT doc_id, max(para_index) + 1 AS n FROM p GROUP BY doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY similarity DESC, para_a, para_b) AS pl FROM dd), g AS (SELECT doc_a, doc_b, count(*) AS matches, max(similarity) AS top, avg(CASE WHEN pl <= 8 THEN similarity END) AS eight, sum(similarity * similarity) / sum(similarity) AS mean, count(DISTINCT index_a) AS ua, count(DISTINCT index_b) AS ub FROM r GROUP BY doc_a, doc_b)"
+_SCORE = (
+    ", n AS (SELECT doc_id, max(para_index) + 1 AS n FROM p GROUP BY doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY similarity DESC, para_a, para_b) AS pl FROM dd), g AS (SELECT doc_a, doc_b, count(*) AS matches, max(similarity) AS top, avg(CASE WHEN pl <= 8 THEN similarity END) AS eight, sum(similarity * similarity) / sum(similarity) AS mean, count(DISTINCT index_a) AS ua, count(DISTINCT index_b) AS ub FROM r GROUP BY doc_a, doc_b)"
     " SELECT doc_a, doc_b, matches, round(top, 6) AS top, round((top * 0.4 + eight * 0.3 + mean * 0.2) * (1 - exp(-5 * (ua / greatest(a.n, ua) + ub / greatest(b.n, ub)) / 2)), 6) AS score FROM g JOIN n a ON a.doc_id = doc_a JOIN n b ON b.doc_id = doc_b"
 )
+
+
+@query(_MM + _SCORE)
 def pair_text_score(spark: SparkSession, d: str) -> DataFrame:
     rows, paragraphs = _matches(spark, d)
     return matching.scores(rows, paragraphs)
@@ -609,7 +611,7 @@ def report_counters(spark: SparkSession, d: str) -> DataFrame:
     return files.join(F.broadcast(pairs)).select("files", F.floor(n * (n - 1) / 2).alias("possible_pairs"), "candidates", "suspicious")
 
 
-@query()
+@query(ORACLE["cluster_type"].replace("SELECT component, docs, pairs, CASE", "SELECT to_json({'component': component, 'docs': docs, 'pairs': pairs, 'kind': CASE", 1).replace("ELSE 'TEXT_CLONE' END AS kind, CASE", "ELSE 'TEXT_CLONE' END, 'confidence': CASE", 1).replace("ELSE 0.95::DOUBLE END AS confidence", "ELSE 0.95::DOUBLE END})::VARCHAR AS json", 1))
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     """One JSON object for each cluster, as the report's sink writes them."""
     return store.json_lines(cluster_type(spark, d))
@@ -730,7 +732,16 @@ def item_contact(spark: SparkSession, d: str) -> DataFrame:
     return items.contact(table(spark, d, "companies"), contact_entities(spark, d), contact_groups(spark, d))
 
 
-@query()
+_TEXT_ITEM = (
+    _KEEP
+    + _SCORE.replace(" SELECT doc_a, doc_b, matches", ", sc AS (SELECT doc_a, doc_b, matches", 1)
+    + "), bst AS (SELECT doc_id, max(score) AS best, count(*) FILTER (WHERE score >= 0.3) AS sim FROM (SELECT doc_a AS doc_id, score FROM sc UNION ALL SELECT doc_b, score FROM sc) GROUP BY doc_id), fnd AS (SELECT doc_id, count(*) AS paragraphs FROM (SELECT doc_a AS doc_id FROM fin UNION ALL SELECT doc_b FROM fin) GROUP BY doc_id),"
+    " rq AS (SELECT company_record_id, section_id, doc_id FROM companies QUALIFY row_number() OVER (PARTITION BY company_record_id ORDER BY submitted_at DESC NULLS LAST, bid_file_url NULLS LAST, bidder_name NULLS LAST) = 1)"
+    " SELECT company_record_id, section_id, CASE WHEN best >= 0.3 OR paragraphs > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, coalesce(best, 0.0::DOUBLE) AS best, coalesce(sim, 0) AS \"similar\", coalesce(paragraphs, 0) AS paragraphs FROM rq LEFT JOIN bst USING (doc_id) LEFT JOIN fnd USING (doc_id)"
+)
+
+
+@query(_TEXT_ITEM)
 def item_text(spark: SparkSession, d: str) -> DataFrame:
     """Each company's verdict by text: FAILED if a pair of its document scores 0.3 or has a match left."""
     return items.text_verdicts(table(spark, d, "companies"), pair_text_score(spark, d), boilerplate_decay(spark, d))
