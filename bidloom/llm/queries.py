@@ -167,6 +167,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.found(table(spark, d, "text_embedding_cache"))
 
 
+ORACLE["p6_found"] = """
+WITH e AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS v FROM text_embedding_cache WHERE len(embedding) = 384 AND NOT list_contains(list_transform(embedding, lambda x : isnan(x)), true) GROUP BY vec_id),
+u AS (SELECT * FROM e WHERE list_sum(list_transform(v, lambda x : x * x)) > 0), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10) SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM t WHERE c >= 0.80"""
+
+
 @query
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of all vectors, for the vectors whose id is divisible by 100."""
