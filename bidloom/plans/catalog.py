@@ -301,13 +301,18 @@ def pending_pairs_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LSH = _SIG + (
-    ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id)), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
+    ", z AS (SELECT k.para_id, p.doc_id, k.sig FROM k JOIN p USING (para_id) WHERE length(p.text) >= 15), hd AS (SELECT sig, min(para_id) AS rep FROM z GROUP BY sig), rp AS (SELECT z.* FROM z JOIN hd ON z.para_id = hd.rep),"
     " bd AS (SELECT para_id, doc_id, sig, i, sig[4 * i + 1 : 4 * i + 4] AS x FROM rp, range(8) r(i)),"
     " lp AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND a.doc_id <> b.doc_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16"
     " UNION SELECT least(z.doc_id, r.doc_id), greatest(z.doc_id, r.doc_id) FROM z JOIN hd ON z.sig = hd.sig JOIN rp r ON r.para_id = hd.rep WHERE z.doc_id <> r.doc_id)"
 )
 
 
+def _whole(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs as the splitter makes them, of 15 characters or more; a title's line alone makes no candidate."""
+    return paragraphs.filter(F.length("text") >= 15)
+
+
 def _lsh_classes(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(para_id, doc_id, class_id, sig): paragraphs with words; those with equal signatures are a class, numbered by its least paragraph."""
     rows = sketches.join(paragraphs.select("para_id", "doc_id"), "para_id")
@@ -350,19 +355,19 @@ def _lsh_all(sketches: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 @query(_LSH + " SELECT doc_a, doc_b FROM lp")
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _lsh(materialise(minhash_sketch(spark, d)), _once(spark, d))
+    return _lsh(materialise(minhash_sketch(spark, d)), _whole(_once(spark, d)))
 
 
 @query(_LSH + " SELECT z.para_id, z.doc_id, hd.rep AS class_id FROM z JOIN hd ON z.sig = hd.sig")
 def lsh_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of each paragraph of ``lsh_candidates``."""
-    return _lsh_classes(materialise(minhash_sketch(spark, d)), _once(spark, d)).select("para_id", "doc_id", "class_id")
+    return _lsh_classes(materialise(minhash_sketch(spark, d)), _whole(_once(spark, d))).select("para_id", "doc_id", "class_id")
 
 
 @query(_LSH + " SELECT DISTINCT a.para_id AS class_a, b.para_id AS class_b FROM bd a JOIN bd b USING (i, x) WHERE a.para_id < b.para_id AND len(list_filter(list_zip(a.sig, b.sig), lambda q : q[1] = q[2])) >= 16")
 def lsh_links(spark: SparkSession, d: str) -> DataFrame:
     """Links between the classes of ``lsh_classes``."""
-    return _lsh_links(materialise(_lsh_classes(materialise(minhash_sketch(spark, d)), _once(spark, d))))
+    return _lsh_links(materialise(_lsh_classes(materialise(minhash_sketch(spark, d)), _whole(_once(spark, d)))))
 
 
 _M = _LSH + (
@@ -381,7 +386,7 @@ def _stage(spark: SparkSession, d: str, dimension: str | None = None) -> tuple[D
     if dimension is not None:
         paragraphs = materialise(sections.in_dimension(paragraphs, page_sections(spark, d), dimension))
     sketches = materialise(minhash_sketch(spark, d))
-    pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").union(_lsh_all(sketches, paragraphs)).distinct()
+    pairs = table(spark, d, "image_matches").select("doc_a", "doc_b").union(_lsh_all(sketches, _whole(paragraphs))).distinct()
     return matching.stage_one(pairs, paragraphs, sketches), paragraphs
 
 
