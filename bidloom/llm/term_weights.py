@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.operators.skew import counted_join
 from bidloom.session import materialise
 
 MAX_DOCS = 5
@@ -61,7 +62,10 @@ def term_scores(matches: DataFrame, paragraphs: DataFrame) -> DataFrame:
     tf = tf.join(length, "doc_id").groupBy("match_id", "term").pivot("side", ["a", "b"]).agg(F.first("tf").alias("tf"), F.first("length").alias("length"))
     total = length.agg(F.count("*").alias("n"))
     share = lambda x: F.coalesce(F.col(f"{x}_tf") / F.col(f"{x}_length"), F.lit(0.0))
-    rows = listed.select("match_id", "term", F.xxhash64("term").alias("id")).join(docs, "id", "left").join(tf, ["match_id", "term"], "left").join(F.broadcast(total))
+    # a word that is listed everywhere is a hot key here; the counts of the listed words are few
+    named = listed.select("match_id", "term", F.xxhash64("term").alias("id"))
+    known = materialise(docs.join(named.select("id").distinct(), "id", "left_semi"))
+    rows = counted_join(named, known, ["id"], ["match_id", "term"], "left").join(tf, ["match_id", "term"], "left").join(F.broadcast(total))
     docs_of = F.coalesce("docs", F.lit(0))
     return rows.select(
         "match_id",
