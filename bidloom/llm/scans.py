@@ -49,6 +49,7 @@ for _p in ALIKE:
     _ALIKE[_p[1]] = _ALIKE.get(_p[1], "") + _p[0]
 _CJK = re.compile(r"[一-鿿]")
 _WORD = re.compile(r"[^\W_一-鿿]+")
+_TAIL = re.compile(r"[^\W_一-鿿]+$")
 _NUMBER = r"[\dlIOo|]{1,4}"
 _PAGE_NO = re.compile(
     rf"^[\s\-–—\[\](){{}}|.·]*(?:(page|seite|pág|pag|página|blatt|p|s|第)\.?\s*)?{_NUMBER}\s*(页)?\s*(?:,?\s*(of|von|de|sur|/|共|aus)\s*{_NUMBER}\s*(?:页)?)?[\s\-–—\[\](){{}}|.·]*$", re.I
@@ -471,25 +472,42 @@ def found(ocr: DataFrame, documents: DataFrame, paragraphs: DataFrame) -> DataFr
     return furniture.union(hyphens).union(marks.select("ocr_id", "line_no", F.lit("char").alias("kind"))).distinct()
 
 
+def _repaired_line(text: str, fixes: dict[str, str], begin: int, end: int) -> str:
+    """A line with its misread words between ``begin`` and ``end`` and its misread Chinese characters repaired."""
+    if not fixes:
+        return text
+    wide = f" {text} "
+    text = "".join(fixes.get(wide[j - 1 : j + 2], wide[j - 1 : j + 2])[1] for j in range(1, len(wide) - 1))
+    return text[:begin] + _WORD.sub(lambda m: _cased(m[0], fixes.get(m[0].lower())), text[begin:end]) + text[end:]
+
+
 def _join_lines(table: pa.Table) -> pa.Table:
     """One document's body lines, repaired and put together into paragraphs."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["page"], r["ocr_id"], r["line_no"]))
-    paragraphs, now = [], ""
+    paragraphs, now, joins = [], "", {}
     width = max((len(r["text"]) for r in rows), default=0)
     for r in rows:
         text = r["text"].strip()
-        fixes = {f["word"]: f["fix"] for f in r["fixes"] or ()}
-        if fixes:
-            text = _WORD.sub(lambda m, f=fixes: _cased(m[0], f.get(m[0].lower())), text)
-            for bad, good in fixes.items():
-                if _CJK.search(bad):
-                    text = text.replace(bad, good)
-        if now.endswith("\x00"):
-            now = now[:-1] + text
+        fixes = {f["word"]: f["fix"] for f in r["fixes"] or () if f["cut"] < 0}
+        # a joined word's repair stands at the line of its misread place: the one before or this one
+        before, joins = joins, {f["word"]: f["fix"] for f in r["fixes"] or () if f["cut"] >= 0}
+        head = _WORD.match(text) if now.endswith("\x00") else None
+        tail = _TAIL.search(text[:-1]) if r["hyphen"] else None
+        # the parts of joined words are no words of this line
+        begin = head.end() if head else 0
+        end = max(begin, tail.start()) if tail else len(text)
+        rest = _repaired_line(text, fixes, begin, end)
+        if head:
+            first = _TAIL.search(now[:-1])
+            whole = (first[0] if first else "") + head[0]
+            fix = (before | joins).get(whole.lower())
+            now = now[: len(now) - 1 - len(whole) + len(head[0])] + _cased(whole, fix) + rest[begin:]
+        elif now.endswith("\x00"):
+            now = now[:-1] + rest
         elif now:
-            now += text if _CJK.match(now[-1]) and _CJK.match(text[:1] or " ") else f" {text}"
+            now += rest if _CJK.match(now[-1]) and _CJK.match(text[:1] or " ") else f" {rest}"
         else:
-            now = text
+            now = rest
         if r["hyphen"]:
             now = now[:-1] + "\x00"
         elif text and text[-1] in ".。!?！？" and len(r["text"]) < 0.8 * width:
@@ -509,6 +527,6 @@ def _cased(word: str, fix: str | None) -> str:
 def repaired(ocr: DataFrame, documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(doc_id, text): each scanned document's pages as continuous paragraphs, without furniture. Documents of blank pages give no row."""
     lines, marks = marked_lines(ocr, documents, paragraphs)
-    fixes = marks.filter("cut < 0").groupBy("ocr_id", "line_no").agg(F.collect_set(F.struct("word", "fix")).alias("fixes"))
+    fixes = marks.groupBy("ocr_id", "line_no").agg(F.collect_set(F.struct("word", "fix", "cut")).alias("fixes"))
     body = lines.filter("kind = 'body'").select("doc_id", "page", "ocr_id", "line_no", "text", "hyphen").join(fixes, ["ocr_id", "line_no"], "left")
     return body.groupBy("doc_id").applyInArrow(_join_lines, "doc_id long, text string")

@@ -146,3 +146,14 @@ def test_scanned_pages(spark):
     text = scans.repaired(o, d, p).filter("doc_id = 1").first()["text"]
     assert "the electrical server" in text and "Annual Report" not in text and "electrical supplier remains" in text
     assert scans.found(o.limit(0), d, p).count() == 0
+
+
+def test_joined_words_and_line_edges_are_repaired(spark, monkeypatch):
+    rows = [(1, 1, 0, 0, "The  Iicence of the mainte-", True), (1, 1, 0, 1, "uauce crew was givcn. The COMPU-", True), (1, 1, 0, 2, "TFR room", False), (1, 1, 0, 3, "材科的目录和材科", False)]
+    lines = spark.createDataFrame([(*r, "body") for r in rows], "doc_id long, ocr_id long, page int, line_no int, text string, hyphen boolean, kind string")
+    fixes = [(0, "iicence", "licence", -1), (1, "maintenauce", "maintenance", 6), (1, "maintenauce", "x", -1), (1, "maintеuauce", "y", 6), (0, "mainteuauce", "maintenance", 6), (1, "givcn", "given", -1)]
+    fixes += [(2, "computfr", "computer", 5), (2, "tfr", "wrong", -1), (3, " 材科", " 材料", -1), (3, "材科 ", "材料 ", -1), (3, "材科的", "材料的", -1)]
+    marks = spark.createDataFrame([(1, *f) for f in fixes], "ocr_id long, line_no int, word string, fix string, cut int")
+    monkeypatch.setattr(scans, "marked_lines", lambda *_: (lines, marks))
+    text = scans.repaired(None, None, None).first()["text"]
+    assert text == "The  Licence of the maintenance crew was given. The COMPUTER room 材料的目录和材料", text
